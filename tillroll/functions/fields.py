@@ -1,8 +1,9 @@
-"""Typed values and complaints for one field of a semi-structured document.
+"""Typed values and complaints for the fields of a semi-structured document.
 
-A field is looked at as VARIANT, since a typed JSON reader cannot tell a missing
-key from an explicit null, nor a wrong type from a null. Each function returns the
-column's value together with a complaint that is NULL when the value can be stored.
+A typed JSON reader cannot tell a missing key from an explicit null, nor a wrong type
+from a null, so documents are VARIANTs. All fields are read as text in one cast of the
+document. Only where the text leaves a doubt (is ``5.5`` a number or a text? is NULL a
+null or a missing key?) is the field looked up in the variant a second time.
 """
 
 from __future__ import annotations
@@ -22,9 +23,18 @@ from tillroll.schemas import Field
 _FIRST_MILLI, _LAST_MILLI = -62_135_596_800_000, 253_402_300_799_999
 
 
-def leaf(document: Column, path: str) -> Column:
-    """The value at ``path``; NULL when the key is missing, a variant null when it is null."""
-    return F.try_variant_get(document, path, "variant")
+def json_path(keys: tuple[str, ...]) -> str:
+    return "$" + "".join(f'["{key}"]' for key in keys)
+
+
+def leaf(document: Column, keys: tuple[str, ...]) -> Column:
+    """The value below ``keys``; NULL when missing, a variant null when null."""
+    return F.try_variant_get(document, json_path(keys), "variant")
+
+
+def kind(document: Column, keys: tuple[str, ...]) -> Column:
+    """Type of the value below ``keys``: VOID, STRING, BIGINT, ...; NULL when missing."""
+    return F.schema_of_variant(leaf(document, keys))
 
 
 def is_object(document: Column) -> Column:
@@ -32,67 +42,93 @@ def is_object(document: Column) -> Column:
     return F.try_variant_get(document, "$", "struct<_id:variant>").isNotNull()
 
 
-def _is_number(kind: Column) -> Column:
-    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+def text_shape(fields: tuple[Field, ...]) -> str:
+    """The struct type that has every field of a document as text."""
+    tree: dict = {}
+    for field in fields:
+        *parents, last = field.path
+        node = tree
+        for key in parents:
+            node = node.setdefault(key, {})
+        node[last] = None
 
+    def ddl(node: dict | None) -> str:
+        if node is None:
+            return "string"
+        return "struct<" + ",".join(f"`{k}`:{ddl(v)}" for k, v in node.items()) + ">"
 
-def _as(value: Column, type_name: str) -> Column:
-    return F.try_variant_get(value, "$", type_name)
+    return ddl(tree)
 
 
-def _text(value: Column, kind: Column) -> tuple[Column, Column]:
-    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    return F.when(~nested, _as(value, "string")), F.when(nested, F.lit("not a text"))
+def as_texts(document: Column, fields: tuple[Field, ...]) -> Column:
+    return F.try_variant_get(document, "$", text_shape(fields))
 
 
-def _number(value: Column, kind: Column) -> tuple[Column, Column]:
-    number = (
-        F.when(_is_number(kind) | (kind == "BOOLEAN"), _as(value, "double"))
-        .when(kind == "STRING", text_to_double(_as(value, "string")))
-    )
-    bad = kind.isNotNull() & (kind != "VOID") & number.isNull()
+class _Leaf:
+    """One field: its text, and the variant it came from for the doubtful cases."""
+
+    def __init__(self, texts: Column, document: Column, field: Field):
+        self.text = texts
+        for key in field.path:
+            self.text = self.text.getField(key)
+        # An explicit null has no text either, but it is there.
+        self.missing = leaf(document, field.path).isNull()
+        self.kind = kind(document, field.path)
+        self.double = F.try_variant_get(document, json_path(field.path), "double")
+
+    @property
+    def is_number(self) -> Column:
+        return self.kind.isin("BIGINT", "DOUBLE", "FLOAT") | self.kind.startswith("DECIMAL")
+
+
+def _text(at: _Leaf) -> tuple[Column, Column]:
+    bracket = at.text.startswith("{") | at.text.startswith("[")
+    nested = bracket & (at.kind.startswith("OBJECT") | at.kind.startswith("ARRAY"))
+    return at.text, F.when(nested, F.lit("not a text"))
+
+
+def _number(at: _Leaf) -> tuple[Column, Column]:
+    number = F.coalesce(text_to_double(at.text), F.when(at.kind == "BOOLEAN", at.double))
+    bad = at.text.isNotNull() & number.isNull()
     return nan_to_null(number), F.when(bad, F.lit("not a number"))
 
 
-def _whole(value: Column, kind: Column) -> tuple[Column, Column]:
-    number = _as(value, "double")
+def _whole(at: _Leaf) -> tuple[Column, Column]:
+    whole = F.coalesce(text_to_int(at.text), F.when(at.is_number, double_to_int(at.double)))
     # NaN stands for a missing value, not for a bad one.
-    absent = _is_number(kind) & F.isnan(number)
-    whole = F.when(_is_number(kind) & ~F.isnan(number), double_to_int(number)).when(
-        kind == "STRING", text_to_int(_as(value, "string"))
-    )
-    bad = kind.isNotNull() & (kind != "VOID") & whole.isNull() & ~absent
+    bad = at.text.isNotNull() & whole.isNull() & ~(at.is_number & F.isnan(at.double))
     return whole, F.when(bad, F.lit("not a whole number"))
 
 
-def _flag(value: Column, kind: Column) -> tuple[Column, Column]:
-    flag = F.when(kind.isin("BOOLEAN", "STRING"), _as(value, "boolean"))
-    bad = kind.isNotNull() & (kind != "VOID") & flag.isNull()
-    return flag, F.when(bad, F.lit("not true or false"))
+def _flag(at: _Leaf) -> tuple[Column, Column]:
+    flag = F.when(at.text.isin("true", "false"), at.text == "true").when(
+        at.text.isNotNull() & (at.kind == "STRING"), at.text.try_cast("boolean")
+    )
+    return flag, F.when(at.text.isNotNull() & flag.isNull(), F.lit("not true or false"))
 
 
-def _date(value: Column, kind: Column) -> tuple[Column, Column]:
-    millis = F.when(_is_number(kind), _as(value, "double"))
+def _date(at: _Leaf) -> tuple[Column, Column]:
+    # The text of a number that is written as a text looks the same, but is no date.
+    millis = F.when(at.text.isNotNull() & at.is_number, at.double)
     inside = millis.between(F.lit(float(_FIRST_MILLI)), F.lit(float(_LAST_MILLI)))
     stamp = F.when(inside, F.timestamp_micros(F.round(millis * 1000).cast("bigint")))
-    return stamp, F.when(kind.isNotNull() & stamp.isNull(), F.lit("not epoch milliseconds"))
+    bad = stamp.isNull() & (at.text.isNotNull() | ~at.missing)
+    return stamp, F.when(bad, F.lit("not epoch milliseconds"))
 
 
 _KINDS = {"text": _text, "number": _number, "whole": _whole, "flag": _flag, "date": _date}
 
 
-def extract(document: Column, field: Field) -> tuple[Column, Column]:
-    """Value and complaint of one field of a document."""
-    value = leaf(document, field.path)
-    kind = F.schema_of_variant(value)
-    found, complaint = _KINDS[field.kind](value, kind)
+def extract(texts: Column, document: Column, field: Field) -> tuple[Column, Column]:
+    """Value and complaint (NULL if the value can be stored) of one field."""
+    at = _Leaf(texts, document, field)
+    found, complaint = _KINDS[field.kind](at)
+    absent = at.text.isNull()
     if field.default is not None:
-        found = F.when(kind.isNull(), F.lit(field.default)).otherwise(found)
+        found = F.when(absent & at.missing, F.lit(field.default)).otherwise(found)
     if not field.null_ok:
-        complaint = F.when(kind == "VOID", F.lit("null")).otherwise(complaint)
+        complaint = F.when(absent & ~at.missing, F.lit("null")).otherwise(complaint)
     if field.limit is not None:
-        complaint = F.coalesce(
-            complaint,
-            F.when(F.length(found) > field.limit, F.lit(f"longer than {field.limit}")),
-        )
+        too_long = F.when(F.length(at.text) > field.limit, F.lit(f"longer than {field.limit}"))
+        complaint = F.coalesce(complaint, too_long)
     return found.alias(field.column), F.concat(F.lit(f"{field.column}: "), complaint)

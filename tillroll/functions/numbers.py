@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Nearly every number is plain; the other forms are looked at only after that fails.
+_PLAIN_DECIMAL = r"^[+-]?[0-9]+(?:\.[0-9]*)?$"
+_PLAIN_WHOLE = r"^[+-]?[0-9]+$"
 # Decimal text: digits may be grouped with single underscores, blanks may surround it.
 _DIGITS = r"[0-9](?:_?[0-9])*"
 _DECIMAL_TEXT = (
     rf"^\s*[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\s*$"
 )
 _SPECIAL_TEXT = r"^\s*[+-]?(?i:nan|inf|infinity)\s*$"
-_WHOLE_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 
 MONEY = "decimal(18,2)"
 
@@ -26,17 +28,21 @@ def text_to_double(text: Column) -> Column:
     Stricter than a cast (``1.5d`` is no number) and wider (``1_000`` and ``inf`` are).
     """
     special = F.lower(F.regexp_replace(_bare(text), r"^\+", ""))
-    return F.when(text.rlike(_DECIMAL_TEXT), _bare(text).try_cast("double")).when(
-        text.rlike(_SPECIAL_TEXT),
-        F.when(special.endswith("nan"), F.lit(float("nan")))
-        .when(special.startswith("-"), F.lit(float("-inf")))
-        .otherwise(F.lit(float("inf"))),
+    return (
+        F.when(text.rlike(_PLAIN_DECIMAL), text.try_cast("double"))
+        .when(text.rlike(_DECIMAL_TEXT), _bare(text).try_cast("double"))
+        .when(
+            text.rlike(_SPECIAL_TEXT),
+            F.when(special.endswith("nan"), F.lit(float("nan")))
+            .when(special.startswith("-"), F.lit(float("-inf")))
+            .otherwise(F.lit(float("inf"))),
+        )
     )
 
 
 def text_to_int(text: Column) -> Column:
     """The integer a text stands for, NULL where it is none or does not fit."""
-    return F.when(text.rlike(_WHOLE_TEXT), _bare(text).try_cast("int"))
+    return F.when(F.trim(text).rlike(_PLAIN_WHOLE), F.trim(text).try_cast("int"))
 
 
 def double_to_int(number: Column) -> Column:

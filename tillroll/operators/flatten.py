@@ -12,40 +12,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll import schemas
-from tillroll.functions.fields import extract, is_object, leaf
+from tillroll.functions.fields import as_texts, extract, is_object, json_path, kind
 
 REASON, SOURCE = "reject_reason", "source"
 
 
+_ID = schemas.RECEIPT_FIELDS[0].path
+
+
 def _no_id(document: Column) -> Column:
-    missing = F.schema_of_variant(leaf(document, '$._id["$oid"]')).isNull()
-    return F.when(missing, F.lit("document has no id"))
+    return F.when(kind(document, _ID).isNull(), F.lit("document has no id"))
 
 
 def _no_reference(document: Column) -> Column:
     """A reference may be missing; if it is there it has to be an object."""
-    kind = F.schema_of_variant(leaf(document, "$.cpg"))
-    return F.when(~kind.startswith("OBJECT"), F.lit("cpg: not an object"))
+    reference = kind(document, ("cpg",))
+    return F.when(~reference.startswith("OBJECT"), F.lit("cpg: not an object"))
 
 
 def _rows(
     rows: DataFrame,
-    document: Column,
+    document: str,
     source: Column,
     fields: tuple[schemas.Field, ...],
-    carried: tuple[Column, ...] = (),
+    carried: tuple[str, ...] = (),
     complaints: tuple[Column, ...] = (),
 ) -> DataFrame:
     """Columns and complaints of all fields in one projection."""
-    extracted = [extract(document, field) for field in fields]
+    # Once more an array of one row as a let-binding: the cast of the whole document is
+    # shared by all fields, also when a filter on the reason is pushed down to here.
+    texts = F.array(F.struct(as_texts(F.col(document), fields).alias("texts")))
+    rows = rows.select("*", F.inline(texts))
+    extracted = [extract(F.col("texts"), F.col(document), field) for field in fields]
     reasons = F.concat_ws("; ", *complaints, *(complaint for _, complaint in extracted))
-    reason = F.when(F.length(reasons) > 0, reasons)
     return rows.select(
         *carried,
         *(value for value, _ in extracted),
-        reason.alias(REASON),
-        F.when(reason.isNotNull(), source).alias(SOURCE),
-    )
+        F.nullif(reasons, F.lit("")).alias(REASON),
+        source.alias(SOURCE),
+    ).withColumn(SOURCE, F.when(F.col(REASON).isNotNull(), F.col(SOURCE)))
 
 
 def _documents(documents: DataFrame, fields, *complaints) -> DataFrame:
@@ -53,7 +58,7 @@ def _documents(documents: DataFrame, fields, *complaints) -> DataFrame:
     # A line that could not be read has no id either; one reason is enough.
     first = F.coalesce(F.col("line_error"), _no_id(document))
     checks = tuple(check(document) for check in complaints)
-    return _rows(documents, document, F.col("line"), fields, complaints=(first, *checks))
+    return _rows(documents, "document", F.col("line"), fields, complaints=(first, *checks))
 
 
 def flatten_receipts(documents: DataFrame) -> DataFrame:
@@ -77,19 +82,19 @@ def flatten_items(documents: DataFrame) -> DataFrame:
     """
     document = F.col("document")
     items = documents.select(
-        F.try_variant_get(document, '$._id["$oid"]', "string").alias("receipt_id"),
+        F.try_variant_get(document, json_path(_ID), "string").alias("receipt_id"),
         F.explode(
-            F.try_variant_get(document, schemas.ITEM_LIST_PATH, "array<variant>")
+            F.try_variant_get(document, json_path(schemas.ITEM_LIST), "array<variant>")
         ).alias("item"),
     ).filter(F.col("receipt_id").isNotNull())
     item, receipt_id = F.col("item"), F.col("receipt_id")
     limit = schemas.LIMITS["items"]["receipt_id"]
     return _rows(
         items,
-        item,
+        "item",
         F.to_json(item),
         schemas.ITEM_FIELDS,
-        carried=(receipt_id,),
+        carried=("receipt_id",),
         complaints=(
             F.when(~F.coalesce(is_object(item), F.lit(False)), F.lit("item is not an object")),
             F.when(F.length(receipt_id) > limit, F.lit(f"receipt_id: longer than {limit}")),

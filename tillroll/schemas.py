@@ -16,14 +16,15 @@ from pyspark.sql import types as T
 class Field:
     """One column of a target table and where it comes from in the document.
 
-    ``path`` is a JSON path. ``kind`` is one of text, number, whole, flag, date.
+    ``path`` lists the keys from the document's root down. ``kind`` is one of text,
+    number, whole, flag, date.
     ``default`` stands in for a key that is missing (not for an explicit null).
     ``null_ok`` says whether an explicit null is stored or rejects the row.
     ``limit`` is the longest text the column holds.
     """
 
     column: str
-    path: str
+    path: tuple[str, ...]
     kind: str
     default: object = None
     null_ok: bool = True
@@ -32,62 +33,62 @@ class Field:
 
 # fixed values: receipts, 14 columns
 RECEIPT_FIELDS = (
-    Field("receipt_id", '$._id["$oid"]', "text", null_ok=False, limit=24),
-    Field("bonus_points_earned", "$.bonusPointsEarned", "whole"),
-    Field("bonus_points_earned_reason", "$.bonusPointsEarnedReason", "text"),
-    Field("create_date", '$.createDate["$date"]', "date"),
-    Field("date_scanned", '$.dateScanned["$date"]', "date"),
-    Field("finished_date", '$.finishedDate["$date"]', "date"),
-    Field("modify_date", '$.modifyDate["$date"]', "date"),
-    Field("points_awarded_date", '$.pointsAwardedDate["$date"]', "date"),
-    Field("points_earned", "$.pointsEarned", "number"),
-    Field("purchase_date", '$.purchaseDate["$date"]', "date"),
-    Field("purchased_item_count", "$.purchasedItemCount", "whole"),
-    Field("rewards_receipt_status", "$.rewardsReceiptStatus", "text", limit=50),
-    Field("total_spent", "$.totalSpent", "number"),
-    Field("user_id", "$.userId", "text", limit=24),
+    Field("receipt_id", ("_id", "$oid"), "text", null_ok=False, limit=24),
+    Field("bonus_points_earned", ("bonusPointsEarned",), "whole"),
+    Field("bonus_points_earned_reason", ("bonusPointsEarnedReason",), "text"),
+    Field("create_date", ("createDate", "$date"), "date"),
+    Field("date_scanned", ("dateScanned", "$date"), "date"),
+    Field("finished_date", ("finishedDate", "$date"), "date"),
+    Field("modify_date", ("modifyDate", "$date"), "date"),
+    Field("points_awarded_date", ("pointsAwardedDate", "$date"), "date"),
+    Field("points_earned", ("pointsEarned",), "number"),
+    Field("purchase_date", ("purchaseDate", "$date"), "date"),
+    Field("purchased_item_count", ("purchasedItemCount",), "whole"),
+    Field("rewards_receipt_status", ("rewardsReceiptStatus",), "text", limit=50),
+    Field("total_spent", ("totalSpent",), "number"),
+    Field("user_id", ("userId",), "text", limit=24),
 )
 
 # fixed values: the item list of a receipt document, and the items' 12 own columns
 # (the 13th, receipt_id, is carried down from the document)
-ITEM_LIST_PATH = "$.rewardsReceiptItemList"
+ITEM_LIST = ("rewardsReceiptItemList",)
 ITEM_FIELDS = (
-    Field("barcode", "$.barcode", "text", limit=50),
-    Field("description", "$.description", "text"),
-    Field("final_price", "$.finalPrice", "number", default=0.0, null_ok=False),
-    Field("item_price", "$.itemPrice", "number", default=0.0, null_ok=False),
-    Field("needs_fetch_review", "$.needsFetchReview", "flag", default=False),
-    Field("partner_item_id", "$.partnerItemId", "text", limit=50),
-    Field("prevent_target_gap_points", "$.preventTargetGapPoints", "flag", default=False),
-    Field("quantity_purchased", "$.quantityPurchased", "whole", default=0),
-    Field("user_flagged_barcode", "$.userFlaggedBarcode", "text", limit=50),
-    Field("user_flagged_new_item", "$.userFlaggedNewItem", "flag", default=False),
-    Field("user_flagged_price", "$.userFlaggedPrice", "number", default=0.0, null_ok=False),
-    Field("user_flagged_quantity", "$.userFlaggedQuantity", "whole", default=0),
+    Field("barcode", ("barcode",), "text", limit=50),
+    Field("description", ("description",), "text"),
+    Field("final_price", ("finalPrice",), "number", default=0.0, null_ok=False),
+    Field("item_price", ("itemPrice",), "number", default=0.0, null_ok=False),
+    Field("needs_fetch_review", ("needsFetchReview",), "flag", default=False),
+    Field("partner_item_id", ("partnerItemId",), "text", limit=50),
+    Field("prevent_target_gap_points", ("preventTargetGapPoints",), "flag", default=False),
+    Field("quantity_purchased", ("quantityPurchased",), "whole", default=0),
+    Field("user_flagged_barcode", ("userFlaggedBarcode",), "text", limit=50),
+    Field("user_flagged_new_item", ("userFlaggedNewItem",), "flag", default=False),
+    Field("user_flagged_price", ("userFlaggedPrice",), "number", default=0.0, null_ok=False),
+    Field("user_flagged_quantity", ("userFlaggedQuantity",), "whole", default=0),
 )
 
 # fixed values: users, 7 columns
 USER_FIELDS = (
-    Field("user_id", '$._id["$oid"]', "text", null_ok=False, limit=24),
-    Field("state", "$.state", "text", limit=2),
-    Field("created_date", '$.createdDate["$date"]', "date"),
-    Field("last_login", '$.lastLogin["$date"]', "date"),
-    Field("role", "$.role", "text", default="CONSUMER", limit=20),
-    Field("active", "$.active", "flag", default=True),
-    Field("sign_up_source", "$.signUpSource", "text", limit=50),
+    Field("user_id", ("_id", "$oid"), "text", null_ok=False, limit=24),
+    Field("state", ("state",), "text", limit=2),
+    Field("created_date", ("createdDate", "$date"), "date"),
+    Field("last_login", ("lastLogin", "$date"), "date"),
+    Field("role", ("role",), "text", default="CONSUMER", limit=20),
+    Field("active", ("active",), "flag", default=True),
+    Field("sign_up_source", ("signUpSource",), "text", limit=50),
 )
 
 # fixed values: brands, 9 columns
 BRAND_FIELDS = (
-    Field("brand_id", '$._id["$oid"]', "text", null_ok=False, limit=24),
-    Field("barcode", "$.barcode", "text", limit=50),
-    Field("brand_code", "$.brandCode", "text", limit=50),
-    Field("category", "$.category", "text", limit=50),
-    Field("category_code", "$.categoryCode", "text", limit=50),
-    Field("cpg_id", '$.cpg["$id"]["$oid"]', "text", limit=24),
-    Field("cpg_ref", '$.cpg["$ref"]', "text", limit=20),
-    Field("top_brand", "$.topBrand", "flag", default=False),
-    Field("name", "$.name", "text"),
+    Field("brand_id", ("_id", "$oid"), "text", null_ok=False, limit=24),
+    Field("barcode", ("barcode",), "text", limit=50),
+    Field("brand_code", ("brandCode",), "text", limit=50),
+    Field("category", ("category",), "text", limit=50),
+    Field("category_code", ("categoryCode",), "text", limit=50),
+    Field("cpg_id", ("cpg", "$id", "$oid"), "text", limit=24),
+    Field("cpg_ref", ("cpg", "$ref"), "text", limit=20),
+    Field("top_brand", ("topBrand",), "flag", default=False),
+    Field("name", ("name",), "text"),
 )
 
 _TYPES = {

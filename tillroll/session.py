@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # HotSpot does not compile methods above 8000 bytes of bytecode. Beyond that a fused
+    # stage runs interpreted and is slower than separately compiled expressions.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -30,24 +30,32 @@ def _parse(line: Column) -> Column:
     return F.from_json(wrapped, "variant", {"allowSingleQuotes": "false"})
 
 
-def _document(line: Column, parsed: Column) -> Column:
-    whole = (F.try_variant_get(parsed, "$[1]", "string") == _MARK) & F.try_variant_get(
-        parsed, "$[2]", "variant"
-    ).isNull()
-    document = F.when(whole, F.try_variant_get(parsed, "$[0]", "variant"))
-    error = F.when(document.isNull(), F.lit("not valid JSON")).when(
-        ~is_object(document), F.lit("not an object")
-    )
-    return F.struct(line.alias("line"), document.alias("document"), error.alias("line_error"))
+def _first_element(parsed: Column) -> Column:
+    closed = F.try_variant_get(parsed, "$[1]", "string") == _MARK
+    alone = F.try_variant_get(parsed, "$[2]", "variant").isNull()
+    return F.when(closed & alone, F.try_variant_get(parsed, "$[0]", "variant"))
+
+
+def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``line`` and one computed column that later filters cannot compute again.
+
+    Catalyst pushes a filter on a computed column below the projection and repeats the
+    computation for each use. It does not push one through a generator, and a generator
+    over one array element is nothing but a projection.
+    """
+    return df.select(F.inline(F.array(F.struct("line", value.alias(name)))))
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Parse a text column that holds one JSON document per row."""
-    line = F.col(column)
-    # The one-element array is a let-binding: a filter on the result is not pushed
-    # below the generator, where it would parse the line again for every field it uses.
-    parsed = F.transform(F.array(_parse(line)), lambda p: _document(line, p))
-    return lines.filter(line.rlike(r"\S")).select(F.inline(parsed))
+    lines = lines.select(F.col(column).alias("line")).filter(F.col("line").rlike(r"\S"))
+    parsed = _computed(lines, "parsed", _parse(F.col("line")))
+    documents = _computed(parsed, "document", _first_element(F.col("parsed")))
+    document = F.col("document")
+    error = F.when(document.isNull(), F.lit("not valid JSON")).when(
+        ~is_object(document), F.lit("not an object")
+    )
+    return documents.withColumn("line_error", error)
 
 
 def refuse_bad_lines(documents: DataFrame) -> DataFrame:
