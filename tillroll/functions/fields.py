@@ -1,18 +1,20 @@
 """Typed values and complaints for the fields of a semi-structured document.
 
 A typed JSON reader cannot tell a missing key from an explicit null, nor a wrong type
-from a null, so documents are VARIANTs. All fields are read as text in one cast of the
-document. Only where the text leaves a doubt (is ``5.5`` a number or a text? is NULL a
-null or a missing key?) is the field looked up in the variant a second time.
+from a null, so documents are VARIANTs. One cast takes all fields out of a document:
+text fields as text, the others as variants, whose JSON text then shows everything at
+once: ``5`` is a number, ``"5"`` a text, ``null`` a null, and NULL a missing key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.numbers import (
+    PLAIN_WHOLE,
     double_to_int,
+    is_plain_decimal,
     nan_to_null,
     text_to_double,
     text_to_int,
@@ -42,93 +44,115 @@ def is_object(document: Column) -> Column:
     return F.try_variant_get(document, "$", "struct<_id:variant>").isNotNull()
 
 
-def text_shape(fields: tuple[Field, ...]) -> str:
-    """The struct type that has every field of a document as text."""
+def _shape(fields: tuple[Field, ...]) -> str:
+    """The struct type that holds the fields of a document where the document has them."""
     tree: dict = {}
     for field in fields:
         *parents, last = field.path
         node = tree
         for key in parents:
             node = node.setdefault(key, {})
-        node[last] = None
+        node[last] = "string" if field.kind == "text" else "variant"
 
-    def ddl(node: dict | None) -> str:
-        if node is None:
-            return "string"
+    def ddl(node: dict | str) -> str:
+        if isinstance(node, str):
+            return node
         return "struct<" + ",".join(f"`{k}`:{ddl(v)}" for k, v in node.items()) + ">"
 
     return ddl(tree)
 
 
-def as_texts(document: Column, fields: tuple[Field, ...]) -> Column:
-    return F.try_variant_get(document, "$", text_shape(fields))
+def computed(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df.select(columns)`` that later filters and projections cannot compute again.
 
+    Catalyst pushes a filter on a computed column below the projection and repeats the
+    computation for each use. It does not push one through a generator, and a generator
+    over one array element is nothing but a projection.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
 
-class _Leaf:
-    """One field: its text, and the variant it came from for the doubtful cases."""
 
-    def __init__(self, texts: Column, document: Column, field: Field):
-        self.text = texts
+def take_texts(df: DataFrame, document: str, fields: tuple[Field, ...]) -> DataFrame:
+    """Add ``texts``, a struct of every field's text by column name."""
+    cast = F.try_variant_get(df[document], "$", _shape(fields)).alias("taken")
+    df = computed(df, *df.columns, cast)
+    texts = []
+    for field in fields:
+        value = F.col("taken")
         for key in field.path:
-            self.text = self.text.getField(key)
-        # An explicit null has no text either, but it is there.
-        self.missing = leaf(document, field.path).isNull()
-        self.kind = kind(document, field.path)
-        self.double = F.try_variant_get(document, json_path(field.path), "double")
+            value = value.getField(key)
+        texts.append((value if field.kind == "text" else F.to_json(value)).alias(field.column))
+    others = [c for c in df.columns if c != "taken"]
+    return computed(df, *others, F.struct(*texts).alias("texts"))
+
 
-    @property
-    def is_number(self) -> Column:
-        return self.kind.isin("BIGINT", "DOUBLE", "FLOAT") | self.kind.startswith("DECIMAL")
+_QUOTE = '"'
 
 
-def _text(at: _Leaf) -> tuple[Column, Column]:
-    bracket = at.text.startswith("{") | at.text.startswith("[")
-    nested = bracket & (at.kind.startswith("OBJECT") | at.kind.startswith("ARRAY"))
-    return at.text, F.when(nested, F.lit("not a text"))
+def _text(text: Column, document: Column, field: Field) -> tuple[Column, Column]:
+    # Text that starts like an object or a list is one, or only looks like it.
+    bracket = text.startswith("{") | text.startswith("[")
+    kind_ = kind(document, field.path)
+    nested = bracket & (kind_.startswith("OBJECT") | kind_.startswith("ARRAY"))
+    return text, F.when(nested, F.lit("not a text"))
 
 
-def _number(at: _Leaf) -> tuple[Column, Column]:
-    number = F.coalesce(text_to_double(at.text), F.when(at.kind == "BOOLEAN", at.double))
-    bad = at.text.isNotNull() & number.isNull()
+def _number(json: Column) -> tuple[Column, Column]:
+    body = F.btrim(json, F.lit(_QUOTE))
+    number = F.when(json.isin("true", "false"), (json == "true").cast("double")).otherwise(
+        text_to_double(body)
+    )
+    bad = ~is_plain_decimal(body) & (json != "null") & number.isNull()
     return nan_to_null(number), F.when(bad, F.lit("not a number"))
 
 
-def _whole(at: _Leaf) -> tuple[Column, Column]:
-    whole = F.coalesce(text_to_int(at.text), F.when(at.is_number, double_to_int(at.double)))
+def _whole(json: Column) -> tuple[Column, Column]:
+    rounded = F.when(~json.startswith(_QUOTE), double_to_int(json.try_cast("double")))
+    whole = F.coalesce(text_to_int(F.btrim(json, F.lit(_QUOTE))), rounded)
     # NaN stands for a missing value, not for a bad one.
-    bad = at.text.isNotNull() & whole.isNull() & ~(at.is_number & F.isnan(at.double))
+    bad = ~json.isin("null", '"NaN"') & whole.isNull()
     return whole, F.when(bad, F.lit("not a whole number"))
 
 
-def _flag(at: _Leaf) -> tuple[Column, Column]:
-    flag = F.when(at.text.isin("true", "false"), at.text == "true").when(
-        at.text.isNotNull() & (at.kind == "STRING"), at.text.try_cast("boolean")
-    )
-    return flag, F.when(at.text.isNotNull() & flag.isNull(), F.lit("not true or false"))
+def _flag(json: Column) -> tuple[Column, Column]:
+    word = F.when(json.startswith(_QUOTE), F.btrim(json, F.lit(_QUOTE)).try_cast("boolean"))
+    flag = F.when(json.isin("true", "false"), json == "true").otherwise(word)
+    return flag, F.when((json != "null") & flag.isNull(), F.lit("not true or false"))
 
 
-def _date(at: _Leaf) -> tuple[Column, Column]:
-    # The text of a number that is written as a text looks the same, but is no date.
-    millis = F.when(at.text.isNotNull() & at.is_number, at.double)
-    inside = millis.between(F.lit(float(_FIRST_MILLI)), F.lit(float(_LAST_MILLI)))
-    stamp = F.when(inside, F.timestamp_micros(F.round(millis * 1000).cast("bigint")))
-    bad = stamp.isNull() & (at.text.isNotNull() | ~at.missing)
-    return stamp, F.when(bad, F.lit("not epoch milliseconds"))
+def _date(json: Column) -> tuple[Column, Column]:
+    whole, double = json.try_cast("bigint"), json.try_cast("double")
+
+    def inside(millis: Column) -> Column:
+        return millis.between(F.lit(_FIRST_MILLI), F.lit(_LAST_MILLI))
+
+    stamp = F.when(json.rlike(PLAIN_WHOLE), F.when(inside(whole), F.timestamp_millis(whole))).when(
+        ~json.startswith(_QUOTE) & inside(double),
+        F.timestamp_micros(F.round(double * 1000).cast("bigint")),
+    )
+    # An explicit null is no date either.
+    return stamp, F.when(json.isNotNull() & stamp.isNull(), F.lit("not epoch milliseconds"))
 
 
-_KINDS = {"text": _text, "number": _number, "whole": _whole, "flag": _flag, "date": _date}
+_KINDS = {"number": _number, "whole": _whole, "flag": _flag, "date": _date}
 
 
 def extract(texts: Column, document: Column, field: Field) -> tuple[Column, Column]:
     """Value and complaint (NULL if the value can be stored) of one field."""
-    at = _Leaf(texts, document, field)
-    found, complaint = _KINDS[field.kind](at)
-    absent = at.text.isNull()
+    text = texts.getField(field.column)
+    if field.kind == "text":
+        found, complaint = _text(text, document, field)
+        # Text says nothing about why it is NULL.
+        missing = text.isNull() & leaf(document, field.path).isNull()
+        null = text.isNull() & leaf(document, field.path).isNotNull()
+    else:
+        found, complaint = _KINDS[field.kind](text)
+        missing, null = text.isNull(), text == "null"
     if field.default is not None:
-        found = F.when(absent & at.missing, F.lit(field.default)).otherwise(found)
+        found = F.when(missing, F.lit(field.default)).otherwise(found)
     if not field.null_ok:
-        complaint = F.when(absent & ~at.missing, F.lit("null")).otherwise(complaint)
+        complaint = F.when(null, F.lit("null")).otherwise(complaint)
     if field.limit is not None:
-        too_long = F.when(F.length(at.text) > field.limit, F.lit(f"longer than {field.limit}"))
+        too_long = F.when(F.length(text) > field.limit, F.lit(f"longer than {field.limit}"))
         complaint = F.coalesce(complaint, too_long)
     return found.alias(field.column), F.concat(F.lit(f"{field.column}: "), complaint)

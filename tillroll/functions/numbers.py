@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Nearly every number is plain; the other forms are looked at only after that fails.
-_PLAIN_DECIMAL = r"^[+-]?[0-9]+(?:\.[0-9]*)?$"
-_PLAIN_WHOLE = r"^[+-]?[0-9]+$"
+PLAIN_DECIMAL = r"^[+-]?[0-9]+(?:\.[0-9]*)?$"
+PLAIN_WHOLE = r"^[+-]?[0-9]+$"
 # Decimal text: digits may be grouped with single underscores, blanks may surround it.
 _DIGITS = r"[0-9](?:_?[0-9])*"
 _DECIMAL_TEXT = (
@@ -22,6 +22,10 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(text, r"[\s_]", "")
 
 
+def is_plain_decimal(text: Column) -> Column:
+    return text.rlike(PLAIN_DECIMAL)
+
+
 def text_to_double(text: Column) -> Column:
     """The double a decimal text stands for, NULL where it is not one.
 
@@ -29,7 +33,7 @@ def text_to_double(text: Column) -> Column:
     """
     special = F.lower(F.regexp_replace(_bare(text), r"^\+", ""))
     return (
-        F.when(text.rlike(_PLAIN_DECIMAL), text.try_cast("double"))
+        F.when(is_plain_decimal(text), text.try_cast("double"))
         .when(text.rlike(_DECIMAL_TEXT), _bare(text).try_cast("double"))
         .when(
             text.rlike(_SPECIAL_TEXT),
@@ -42,7 +46,7 @@ def text_to_double(text: Column) -> Column:
 
 def text_to_int(text: Column) -> Column:
     """The integer a text stands for, NULL where it is none or does not fit."""
-    return F.when(F.trim(text).rlike(_PLAIN_WHOLE), F.trim(text).try_cast("int"))
+    return F.when(F.trim(text).rlike(PLAIN_WHOLE), F.trim(text).try_cast("int"))
 
 
 def double_to_int(number: Column) -> Column:

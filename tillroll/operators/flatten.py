@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll import schemas
-from tillroll.functions.fields import as_texts, extract, is_object, json_path, kind
+from tillroll.functions.fields import extract, is_object, json_path, kind, take_texts
 
 REASON, SOURCE = "reject_reason", "source"
 
@@ -39,18 +39,14 @@ def _rows(
     complaints: tuple[Column, ...] = (),
 ) -> DataFrame:
     """Columns and complaints of all fields in one projection."""
-    # Once more an array of one row as a let-binding: the cast of the whole document is
-    # shared by all fields, also when a filter on the reason is pushed down to here.
-    texts = F.array(F.struct(as_texts(F.col(document), fields).alias("texts")))
-    rows = rows.select("*", F.inline(texts))
+    rows = take_texts(rows, document, fields)
     extracted = [extract(F.col("texts"), F.col(document), field) for field in fields]
     reasons = F.concat_ws("; ", *complaints, *(complaint for _, complaint in extracted))
-    return rows.select(
-        *carried,
-        *(value for value, _ in extracted),
-        F.nullif(reasons, F.lit("")).alias(REASON),
-        source.alias(SOURCE),
-    ).withColumn(SOURCE, F.when(F.col(REASON).isNotNull(), F.col(SOURCE)))
+    values = [value for value, _ in extracted]
+    inputs = [c for c in rows.columns if c not in carried and c != "texts"]
+    rows = rows.select(*carried, *values, F.nullif(reasons, F.lit("")).alias(REASON), *inputs)
+    # Only rejects need their source text.
+    return rows.withColumn(SOURCE, F.when(F.col(REASON).isNotNull(), source)).drop(*inputs)
 
 
 def _documents(documents: DataFrame, fields, *complaints) -> DataFrame:

@@ -3,7 +3,7 @@
 Layout below one root folder::
 
     data/<table>/batch=<id>/verdict=accepted|rejected/...   rows of a batch
-    manifest/batch=<id>/                                    what the batch holds
+    manifest/<id>/                                          what the batch holds
 
 A batch is first written, then checked, and only then listed in a manifest. Readers follow
 the manifests, so a batch that failed on the way is invisible, and one that is published
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,12 +64,8 @@ def _rows(spark: SparkSession, table: str, paths: list[str]) -> DataFrame:
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """One row per published batch and table."""
-    try:
-        return spark.read.schema(MANIFEST).json(f"{root}/manifest")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], MANIFEST)
+    files = spark.read.schema(MANIFEST).option("recursiveFileLookup", "true")
+    return files.json(f"{root}/manifest")
 
 
 def _paths(spark: SparkSession, root: str, table: str, but: str | None = None) -> list[str]:
@@ -115,6 +110,8 @@ def publish(spark: SparkSession, root: str, batch: str, tables: dict[str, DataFr
     ``tables`` maps table names to the output of the flattening functions (or of
     ``tag_plain``). Tables without accepted rows are listed as empty and a warning is logged.
     """
+    # A root that has no manifest folder yet gets an empty one.
+    spark.createDataFrame([], MANIFEST).write.mode("ignore").json(f"{root}/manifest")
     listed, broken = [], []
     for name in (t for t in schemas.TABLES if t in tables):
         path = _batch_path(root, name, batch)
@@ -130,7 +127,7 @@ def publish(spark: SparkSession, root: str, batch: str, tables: dict[str, DataFr
     if broken:
         raise ConstraintViolation("; ".join(broken))
     manifest = spark.createDataFrame(listed, MANIFEST)
-    manifest.coalesce(1).write.mode("overwrite").json(f"{root}/manifest/batch={batch}")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{root}/manifest/{batch}")
     return manifest
 
 

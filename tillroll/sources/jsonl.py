@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.functions.fields import is_object
+from tillroll.functions.fields import computed, is_object
 
 MODES = ("lenient", "strict")
 
@@ -36,22 +36,12 @@ def _first_element(parsed: Column) -> Column:
     return F.when(closed & alone, F.try_variant_get(parsed, "$[0]", "variant"))
 
 
-def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``line`` and one computed column that later filters cannot compute again.
-
-    Catalyst pushes a filter on a computed column below the projection and repeats the
-    computation for each use. It does not push one through a generator, and a generator
-    over one array element is nothing but a projection.
-    """
-    return df.select(F.inline(F.array(F.struct("line", value.alias(name)))))
-
-
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Parse a text column that holds one JSON document per row."""
     lines = lines.select(F.col(column).alias("line")).filter(F.col("line").rlike(r"\S"))
-    parsed = _computed(lines, "parsed", _parse(F.col("line")))
-    documents = _computed(parsed, "document", _first_element(F.col("parsed")))
-    document = F.col("document")
+    line, parsed, document = F.col("line"), F.col("parsed"), F.col("document")
+    parsed_lines = computed(lines, line, _parse(line).alias("parsed"))
+    documents = computed(parsed_lines, line, _first_element(parsed).alias("document"))
     error = F.when(document.isNull(), F.lit("not valid JSON")).when(
         ~is_object(document), F.lit("not an object")
     )
