@@ -88,36 +88,46 @@ def take_texts(df: DataFrame, document: str, fields: tuple[Field, ...]) -> DataF
 
 _QUOTE = '"'
 
+# Spark computes an expression that is used twice ahead of both uses, even behind an AND.
+# Only the later branches of a CASE are left alone until they are reached, so that is how
+# the costly tests below are guarded.
+
 
 def _text(text: Column, document: Column, field: Field) -> tuple[Column, Column]:
     # Text that starts like an object or a list is one, or only looks like it.
+    nested = kind(document, field.path).rlike("^(?:OBJECT|ARRAY)")
     bracket = text.startswith("{") | text.startswith("[")
-    kind_ = kind(document, field.path)
-    nested = bracket & (kind_.startswith("OBJECT") | kind_.startswith("ARRAY"))
-    return text, F.when(nested, F.lit("not a text"))
+    return text, F.when(bracket, F.when(nested, F.lit("not a text")))
 
 
 def _number(json: Column) -> tuple[Column, Column]:
     body = F.btrim(json, F.lit(_QUOTE))
-    number = F.when(json.isin("true", "false"), (json == "true").cast("double")).otherwise(
-        text_to_double(body)
+    plain = is_plain_decimal(body)
+    odd = nan_to_null(text_to_double(body))
+    number = F.when(plain, body.try_cast("double")).otherwise(
+        F.when(json == "true", 1.0).when(json == "false", 0.0).when(json != "null", odd)
     )
-    bad = ~is_plain_decimal(body) & (json != "null") & number.isNull()
-    return nan_to_null(number), F.when(bad, F.lit("not a number"))
+    good = plain | json.isin("true", "false", "null")
+    bad = F.when(good, None).when(text_to_double(body).isNull(), F.lit("not a number"))
+    return number, F.when(json.isNotNull(), bad)
 
 
 def _whole(json: Column) -> tuple[Column, Column]:
-    rounded = F.when(~json.startswith(_QUOTE), double_to_int(json.try_cast("double")))
-    whole = F.coalesce(text_to_int(F.btrim(json, F.lit(_QUOTE))), rounded)
+    body = F.btrim(json, F.lit(_QUOTE))
+    whole = F.when(text_to_int(body).isNotNull(), text_to_int(body)).when(
+        ~json.startswith(_QUOTE), double_to_int(json.try_cast("double"))
+    )
     # NaN stands for a missing value, not for a bad one.
-    bad = ~json.isin("null", '"NaN"') & whole.isNull()
-    return whole, F.when(bad, F.lit("not a whole number"))
+    good = json.isNull() | json.isin("null", '"NaN"') | whole.isNotNull()
+    return whole, F.when(~good, F.lit("not a whole number"))
 
 
 def _flag(json: Column) -> tuple[Column, Column]:
     word = F.when(json.startswith(_QUOTE), F.btrim(json, F.lit(_QUOTE)).try_cast("boolean"))
-    flag = F.when(json.isin("true", "false"), json == "true").otherwise(word)
-    return flag, F.when((json != "null") & flag.isNull(), F.lit("not true or false"))
+    plain = json.isin("true", "false")
+    flag = F.when(plain, json == "true").otherwise(word)
+    bad = F.when(plain | (json == "null"), None).when(word.isNull(), F.lit("not true or false"))
+    return flag, F.when(json.isNotNull(), bad)
 
 
 def _date(json: Column) -> tuple[Column, Column]:
@@ -127,11 +137,12 @@ def _date(json: Column) -> tuple[Column, Column]:
         return millis.between(F.lit(_FIRST_MILLI), F.lit(_LAST_MILLI))
 
     stamp = F.when(json.rlike(PLAIN_WHOLE), F.when(inside(whole), F.timestamp_millis(whole))).when(
-        ~json.startswith(_QUOTE) & inside(double),
-        F.timestamp_micros(F.round(double * 1000).cast("bigint")),
+        ~json.startswith(_QUOTE),
+        F.when(inside(double), F.timestamp_micros(F.round(double * 1000).cast("bigint"))),
     )
     # An explicit null is no date either.
-    return stamp, F.when(json.isNotNull() & stamp.isNull(), F.lit("not epoch milliseconds"))
+    bad = json.isNotNull() & stamp.isNull()
+    return stamp, F.when(bad, F.lit("not epoch milliseconds"))
 
 
 _KINDS = {"number": _number, "whole": _whole, "flag": _flag, "date": _date}
@@ -143,8 +154,8 @@ def extract(texts: Column, document: Column, field: Field) -> tuple[Column, Colu
     if field.kind == "text":
         found, complaint = _text(text, document, field)
         # Text says nothing about why it is NULL.
-        missing = text.isNull() & leaf(document, field.path).isNull()
-        null = text.isNull() & leaf(document, field.path).isNotNull()
+        missing = F.when(text.isNull(), leaf(document, field.path).isNull())
+        null = F.when(text.isNull(), leaf(document, field.path).isNotNull())
     else:
         found, complaint = _KINDS[field.kind](text)
         missing, null = text.isNull(), text == "null"
