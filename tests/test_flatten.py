@@ -61,12 +61,23 @@ def test_strict_source_fails_as_a_whole(spark, tmp_path):
     path.write_text('{"_id": {"$oid": "a"}}\n{"_id": \n')
     with pytest.raises(PySparkException, match="undecodable line"):
         accepted(flatten_receipts(read_jsonl(spark, str(path), "strict"))).collect()
+    with pytest.raises(PySparkException, match="undecodable line"):
+        accepted(flatten_items(read_jsonl(spark, str(path), "strict"))).count()
     path.write_text('{"_id": {"$oid": "a"}}\n[1]\n')
     assert accepted(flatten_receipts(read_jsonl(spark, str(path), "strict"))).count() == 1
     with pytest.raises(ValueError, match="mode"):
         read_jsonl(spark, str(path), "sloppy")
 
 
+def test_each_line_is_parsed_once(spark, tmp_path):
+    path = tmp_path / "receipts.json"
+    path.write_text(json.dumps(oid("a")))
+    rows = accepted(flatten_items(read_jsonl(spark, str(path)))).filter("final_price > 5")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "_partition" in plan
+    assert rows.columns == [f.name for f in schemas.ITEMS]
+
+
 def test_empty_source(spark, tmp_path):
     path = tmp_path / "users.json"
     path.write_text("\n{oops\n")

@@ -62,28 +62,30 @@ def _shape(fields: tuple[Field, ...]) -> str:
     return ddl(tree)
 
 
-def computed(df: DataFrame, *columns: Column) -> DataFrame:
-    """``df.select(columns)`` that later filters and projections cannot compute again.
+def computed(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``df.select(columns)`` whose columns later filters cannot compute again.
 
     Catalyst pushes a filter on a computed column below the projection and repeats the
-    computation for each use. It does not push one through a generator, and a generator
-    over one array element is nothing but a projection.
+    computation for each use. It leaves a filter above a projection that is not
+    deterministic, as the number of the task's partition makes it; the test on that number
+    holds always and only keeps it from being pruned.
     """
-    return df.select(F.inline(F.array(F.struct(*columns))))
+    numbered = df.select(*columns, F.spark_partition_id().alias("_partition"))
+    return numbered.filter("_partition >= 0").drop("_partition")
 
 
 def take_texts(df: DataFrame, document: str, fields: tuple[Field, ...]) -> DataFrame:
     """Add ``texts``, a struct of every field's text by column name."""
     cast = F.try_variant_get(df[document], "$", _shape(fields)).alias("taken")
-    df = computed(df, *df.columns, cast)
+    others = df.columns
+    df = df.select("*", cast)
     texts = []
     for field in fields:
         value = F.col("taken")
         for key in field.path:
             value = value.getField(key)
         texts.append((value if field.kind == "text" else F.to_json(value)).alias(field.column))
-    others = [c for c in df.columns if c != "taken"]
-    return computed(df, *others, F.struct(*texts).alias("texts"))
+    return df.select(*others, F.struct(*texts).alias("texts"))
 
 
 _QUOTE = '"'

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll import schemas
-from tillroll.functions.fields import extract, is_object, json_path, kind, take_texts
+from tillroll.functions.fields import computed, extract, is_object, json_path, kind, take_texts
 
 REASON, SOURCE = "reject_reason", "source"
 
@@ -108,9 +108,9 @@ FLATTEN = {
 
 def accepted(rows: DataFrame) -> DataFrame:
     """The rows that can be stored, with the table's columns only."""
-    return rows.filter(F.col(REASON).isNull()).drop(REASON, SOURCE)
+    return computed(rows, *rows.columns).filter(F.col(REASON).isNull()).drop(REASON, SOURCE)
 
 
 def rejected(rows: DataFrame) -> DataFrame:
     """The rows that cannot, each with its reason and its source text."""
-    return rows.filter(F.col(REASON).isNotNull()).select(REASON, SOURCE)
+    return computed(rows, REASON, SOURCE).filter(F.col(REASON).isNotNull())

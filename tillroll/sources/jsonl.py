@@ -40,7 +40,7 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Parse a text column that holds one JSON document per row."""
     lines = lines.select(F.col(column).alias("line")).filter(F.col("line").rlike(r"\S"))
     line, parsed, document = F.col("line"), F.col("parsed"), F.col("document")
-    parsed_lines = computed(lines, line, _parse(line).alias("parsed"))
+    parsed_lines = lines.select(line, _parse(line).alias("parsed"))
     documents = computed(parsed_lines, line, _first_element(parsed).alias("document"))
     error = F.when(document.isNull(), F.lit("not valid JSON")).when(
         ~is_object(document), F.lit("not an object")
@@ -51,9 +51,12 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 def refuse_bad_lines(documents: DataFrame) -> DataFrame:
     """Fail the query that meets an undecodable line (in its own pass over the data)."""
     bad = F.col("line_error") == "not valid JSON"
-    message = F.concat(F.lit("undecodable line in a strict source: "), F.col("line"))
-    return documents.withColumn(
-        "line_error", F.when(bad, F.raise_error(message)).otherwise(F.col("line_error"))
+    refusal = F.raise_error(
+        F.concat(F.lit("undecodable line in a strict source: "), F.col("line"))
+    )
+    # Both columns refuse, since a query may use one without the other.
+    return documents.withColumns(
+        {c: F.when(bad, refusal).otherwise(F.col(c)) for c in ("document", "line_error")}
     )
 
 
