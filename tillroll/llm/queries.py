@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import chat, jaccard, licenses, mixing, neighbours, packing, quality, sharding, viterbi
+from tillroll.llm import chat, fingerprints, jaccard, licenses, mixing, neighbours, packing, quality, sharding, viterbi
 
 TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -20,6 +20,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(_table(spark, sf_dir, "conversations"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(_table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_classes(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_fingerprints": op2_fingerprints,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_license_scans": op4_license_scans,
     "op5_kd_sharding": op5_kd_sharding,
