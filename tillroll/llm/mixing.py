@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.columns import hash_bucket, text_of, word_count
+from tillroll.llm.columns import WORD, hash_bucket, text_of, word_count
 from tillroll.llm.storage import written
 
 #: Weights by the sources' order, repeating; the share of all words to take; the most epochs.
@@ -94,19 +94,15 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
     A document that the mix takes 1.4 times is there once whole and once with the first 0.4
     of its words (at most one document of a source is cut).
     """
-    from tillroll.llm.columns import WORD
-
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
     rest = F.col("taken") - whole * F.col("size")
-    names = docs.columns
-    others = [c for c in names if c not in ("doc_id", "source")]
-    held = docs.select(*names)
-    mixed = mix(held.select("doc_id", "source", *others), keep=("source", *others), **how)
-    copies = mixed.withColumn("times", whole.cast("int")).withColumn("rest", rest.cast("int"))
+    mixed = mix(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("doc")), keep=("doc",), **how)
+    copies = mixed.select("doc", whole.cast("int").alias("times"), rest.cast("int").alias("rest"))
     full = copies.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
-    pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    leading = F.when(F.col("text").rlike(f"^{WORD}"), 0).otherwise(1)
-    cut = copies.where("rest > 0").withColumn("text", F.array_join(F.slice(pieces, 1, F.col("rest") + leading), ""))
-    if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.length("text").cast("long"))
-    return full.select(names).unionByName(cut.select(names))
+    text = F.col("doc.text")
+    pieces = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    leading = F.when(text.rlike(f"^{WORD}"), 0).otherwise(1)
+    cut = copies.where("rest > 0").withColumn("head", F.array_join(F.slice(pieces, 1, F.col("rest") + leading), ""))
+    changed = {"text": F.col("head"), "n_chars": F.char_length("head").cast("long")}
+    columns = [changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns]
+    return full.select("doc.*").unionByName(cut.select(columns))
