@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from tillroll.llm.storage import written
 
 #: Rows a list should have, most lists, most sampled rows and floats for the centroids.
-LIST_ROWS, MOST_LISTS, SAMPLE, SAMPLE_FLOATS = 256, 1024, 20_000, 4_000_000
+LIST_ROWS, MOST_LISTS, SAMPLE, SAMPLE_FLOATS = 1024, 1024, 20_000, 4_000_000
 #: Links of a centroid, beam of the graph's search.
 LINKS, BEAM = 24, 96
 #: A vector is replicated to lists within this ratio of its nearest distance, so many at most.
-NEAR, REPLICAS = 1.05, 4
+NEAR, REPLICAS = 1.1, 4
 #: A query reads lists within this ratio of its nearest distance, and so many at least.
-RATIO, LEAST_LISTS = 1.15, 24
+RATIO, LEAST_LISTS = 1.04, 12
 #: Rows of a list, and of its queries, that one group of the join holds at most (about).
 BLOCK, QUERY_BLOCK = 4096, 1024
 
