@@ -23,7 +23,7 @@ from tillroll.sinks.publish import (
 from tillroll.sources.catalog import find_tables, point_lookup, preview
 from tillroll.sources.jdbc import jdbc_options
 from tillroll.sources.jsonl import parse_lines, read_jsonl
-from tillroll.streaming.feed import start_receipt_feed
+from tillroll.streaming.feed import publish_receipts, start_receipt_feed
 
 
 def receipt(name, **more):
@@ -87,6 +87,24 @@ def test_publish_nothing_when_a_strict_source_fails(spark, tmp_path):
     assert manifests(spark, root).isEmpty()
 
 
+def test_a_refused_batch_leaves_its_first_attempt(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    publish(spark, root, "one", {"receipts": flat(spark, "receipts", receipt("a"))})
+    with pytest.raises(ConstraintViolation, match="not unique"):
+        publish(spark, root, "one", {"receipts": flat(spark, "receipts", receipt("x"), receipt("x"))})
+    assert ids(read_published(spark, root, "receipts")) == ["a"]
+    source = tmp_path / "receipts.json"
+    source.write_text(receipt("b") + "\n{oops\n")
+    with pytest.raises(PySparkException):
+        publish(spark, root, "one", {"receipts": FLATTEN["receipts"](read_jsonl(spark, str(source), "strict"))})
+    assert ids(read_published(spark, root, "receipts")) == ["a"]
+    publish(spark, root, "one", {"receipts": flat(spark, "receipts", receipt("b"))})
+    assert ids(read_published(spark, root, "receipts")) == ["b"]
+    # an attempt without a table takes that table's rows of the batch away
+    publish(spark, root, "one", {"users": flat(spark, "users", receipt("u"))})
+    assert read_published(spark, root, "receipts").isEmpty()
+
+
 def test_publish_checks_lengths(spark, tmp_path):
     users = spark.createDataFrame([("u", "Wisconsin")], "user_id string, state string")
     for f in schemas.USERS.fields[2:]:
@@ -136,17 +154,21 @@ def test_layout(spark, tmp_path, sf_dir):
 
 
 def test_stream_continues_where_it_stopped(spark, tmp_path):
-    source, sink, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    source, root, log = (str(tmp_path / n) for n in ("in", "out", "log"))
 
     def arrive(*lines):
         spark.createDataFrame([(line,) for line in lines], "value string").write.mode("append").text(source)
-        start_receipt_feed(spark, source, sink, log).awaitTermination()
-        return ids(spark.read.parquet(sink))
+        start_receipt_feed(spark, source, root, log).awaitTermination()
+        return ids(read_published(spark, root, "receipts"))
 
     old, new = {"dateScanned": {"$date": 0}}, {"dateScanned": {"$date": 1_700_000_000_000}}
     assert arrive(receipt("a", **new), receipt("a", **new), receipt("b"), "oops") == ["a", "b"]
     # a repeat is dropped, a receipt that is years older than the newest one is not
     assert arrive(receipt("a", **new), receipt("c", **old)) == ["a", "b", "c"]
+    # rejects are kept; a batch that is replayed replaces itself
+    assert [r.source for r in read_rejected(spark, root, "receipts").collect()] == ["oops"]
+    publish_receipts(spark.createDataFrame([(receipt("c", **old),)], "value string"), root, "feed-1")
+    assert ids(read_published(spark, root, "receipts")) == ["a", "b", "c"]
 
 
 def test_jdbc_options():

@@ -146,3 +146,47 @@ def test_rank_equals_the_window_function(spark):
     assert rows(ranking.rank_within(df, "g", "n", "pos").select("g", "n", "name", "pos")) == rows(want)
     assert rows(ranking.leaders(df.filter("n < 9"), "n").select("name")) == [("a",), ("b",)]
     assert [r.name for r in ranking.top_k(df, 3, "n", "name").collect()] == ["d", "a", "b"]
+
+
+def test_money(spark):
+    from tillroll.functions.numbers import money_avg, money_parts, money_sum, money_total
+
+    def of(*amounts):
+        df = spark.createDataFrame([(a,) for a in amounts], "x double")
+        two_steps = df.groupBy("x").agg(money_parts(F.col("x")).alias("p")).agg(money_total(F.col("p"))).first()[0]
+        total, mean = df.agg(money_sum(F.col("x")), money_avg(F.col("x"))).first()
+        assert len(set(amounts)) < len(amounts) or str(two_steps) == str(total)
+        return total, mean
+
+    assert of(1.005, 0.004, -0.002)[0] == 1.01 and of(1.004, 0.004)[0] == 1.01
+    assert of(1e17, 1.0)[0] == 1e17 + 1
+    assert of(1e30, 1.0)[0] == 1e30
+    assert of(2.0, float("inf")) == (float("inf"), float("inf"))
+    assert str(of(2.0, float("nan"))) == "(nan, nan)"
+    assert of(None) == (None, None) and of(2.0, None, 4.0) == (6.0, 3.0)
+
+
+def test_spreading_needs_no_common_type(spark):
+    left = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c")], "k int, name string")
+    right = spark.createDataFrame([(1, "x"), (0, "y")], "k int, v string")
+    got = joins.left_join_missing_keys(left, right, "k", "name").collect()
+    assert sorted((r.name, r.v) for r in got) == [("a", "x"), ("b", None), ("c", None)]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from tillroll import session
+
+    assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
+
+    class Unset:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Cluster:
+        sparkContext, conf = Context, Unset
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_path(Cluster, "x")

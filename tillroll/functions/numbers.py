@@ -15,7 +15,8 @@ _DECIMAL_TEXT = (
 )
 _SPECIAL_TEXT = r"^\s*[+-]?(?i:nan|inf|infinity)\s*$"
 
-MONEY = "decimal(18,2)"
+# Amounts below LARGEST keep ten places, and ten billion of them add up without loss.
+MONEY, LARGEST = "decimal(38,10)", 1e18
 
 
 def _bare(text: Column) -> Column:
@@ -58,18 +59,39 @@ def nan_to_null(number: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
-def money_sum(amount: Column) -> Column:
-    """Sum of amounts in cents precision.
+def money_parts(amount: Column) -> Column:
+    """Sums of amounts to be added up further: ``exact`` decimals, and the ``odd`` rest.
 
     Adding doubles gives a result that depends on the order of addition, so on the
-    partitioning; decimals add up the same way everywhere.
+    partitioning; decimals add up the same way everywhere. Only amounts that are infinite,
+    NaN or too large for a decimal are added as doubles.
     """
-    return F.sum(amount.cast(MONEY))
+    number = amount.cast("double")
+    odd = F.isnan(number) | (F.abs(number) >= F.lit(LARGEST))
+    return F.struct(
+        F.sum(F.when(~odd, amount).cast(MONEY)).alias("exact"), F.sum(F.when(odd, number)).alias("odd")
+    )
+
+
+def _whole(exact: Column, odd: Column) -> Column:
+    plain = F.round(exact, 2).cast("double")
+    return F.when(odd.isNotNull(), odd + F.coalesce(exact.cast("double"), F.lit(0.0))).otherwise(plain)
+
+
+def money_total(parts: Column) -> Column:
+    """Sum of ``money_parts``, rounded to cents at the end only; NULL where all are."""
+    return _whole(F.sum(parts["exact"]), F.sum(parts["odd"]))
+
+
+def money_sum(amount: Column) -> Column:
+    """Sum of amounts, rounded to cents at the end only."""
+    parts = money_parts(amount)
+    return _whole(parts["exact"], parts["odd"])
 
 
 def money_avg(amount: Column) -> Column:
-    """Average over the non-null amounts, NULL where there are none."""
-    return F.try_divide(money_sum(amount).cast("double"), F.count(amount).cast("double"))
+    """Average over the non-null amounts, all of which are in the sum; NULL where there are none."""
+    return F.try_divide(money_sum(amount), F.count(amount).cast("double"))
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -10,14 +10,14 @@ def left_join_missing_keys(left: DataFrame, right: DataFrame, key: str, spread_b
     """Left outer join for a left side whose key is often NULL.
 
     A plain left join hashes all rows with a NULL key to one partition, though none of
-    them can match. Here they travel under ``spread_by`` instead, and the second condition
-    keeps them from matching. Oversized partitions of a hot non-null key are split by AQE
-    (a left outer join may split its left side).
+    them can match. Here rows travel under the key and a salt, which is 0 for rows with a
+    key and a hash of ``spread_by`` for those without. Oversized partitions of a hot
+    non-null key are split by AQE (a left outer join may split its left side).
     """
     columns = [c for c in right.columns if c != key]
-    right = right.select(F.col(key).alias("_right_key"), *columns)
-    travel = F.coalesce(F.col(key), F.col(spread_by).cast(left.schema[key].dataType))
-    condition = (travel == right["_right_key"]) & F.col(key).isNotNull()
+    right = right.select(F.col(key).alias("_right_key"), F.lit(0).alias("_right_salt"), *columns)
+    salt = F.when(F.col(key).isNull(), F.hash(spread_by)).otherwise(F.lit(0))
+    condition = (F.col(key) == right["_right_key"]) & (salt == right["_right_salt"])
     return left.join(right, condition, "left").select(*left.columns, *columns)
 
 
@@ -43,7 +43,7 @@ def without_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def with_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """``key IN (subquery)``: left rows whose key is among the right side's keys."""
-    return left.join(right.select(key), key, "left_semi")
+    return left.join(right.select(key).distinct(), key, "left_semi")
 
 
 def not_in(left: DataFrame, subquery: DataFrame, key: str) -> DataFrame:
@@ -52,6 +52,7 @@ def not_in(left: DataFrame, subquery: DataFrame, key: str) -> DataFrame:
     Nothing qualifies when the subquery holds a NULL; a NULL key qualifies only when the
     subquery is empty. SQL's own NOT IN is planned as a broadcast of the subquery, whatever
     its size. An anti join plus one row of counts decides the same and shuffles if need be.
+    The subquery's keys are distinct before they travel, so a hot one is a row per task.
     """
     keys = subquery.select(key)
     facts = keys.agg(
@@ -60,7 +61,7 @@ def not_in(left: DataFrame, subquery: DataFrame, key: str) -> DataFrame:
     decided = (facts.select("nulls").scalar() == 0) & (
         F.col(key).isNotNull() | (facts.select("n").scalar() == 0)
     )
-    return left.join(keys, key, "left_anti").filter(decided).select(*left.columns)
+    return left.filter(decided).join(keys.distinct(), key, "left_anti").select(*left.columns)
 
 
 def split_missing_keys(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

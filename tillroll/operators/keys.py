@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.operators.joins import not_in, with_match
+from tillroll.operators.joins import with_match
 
 Key = str | tuple[str, ...]
 
@@ -23,12 +23,15 @@ def key_profile(df: DataFrame, keys: list[Key]) -> DataFrame:
 
     A tuple is a composite key. A key with a NULL part is not counted, and parts are never
     concatenated, so ("1", "23") and ("12", "3") stay different keys.
+
+    Each key is counted over its own columns. Several distinct counts in one aggregation
+    would send every row once for each of them.
     """
     distinct = [
-        F.count_distinct(*_columns(key)).alias("distinct_" + "_".join(_columns(key)))
+        df.select(*_columns(key)).dropna().distinct().agg(_rows()).scalar().alias("distinct_" + "_".join(_columns(key)))
         for key in keys
     ]
-    return df.agg(_rows().alias("total_rows"), *distinct)
+    return df.agg(_rows().alias("total_rows")).select("total_rows", *distinct)
 
 
 def duplicate_keys(df: DataFrame, key: Key) -> DataFrame:
@@ -78,8 +81,17 @@ def rows_with_duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def drop_ambiguous_keys(df: DataFrame, key: str) -> DataFrame:
-    """Drop every row of a key that occurs more than once, as ``key NOT IN`` would."""
-    return not_in(df, duplicate_keys(df, key), key)
+    """Drop every row of a key that occurs more than once, as ``key NOT IN`` would.
+
+    A key that occurs once is its row, so one aggregation finds the rows. As with NOT IN,
+    nothing is left when NULL is among the repeated keys, and a single NULL key stays only
+    if no key is repeated; these two facts are read from the key column alone.
+    """
+    repeated = duplicate_keys(df, key)
+    facts = repeated.agg(_rows().alias("n"), F.count_if(F.col(key).isNull()).alias("nulls"))
+    decided = (facts.select("nulls").scalar() == 0) & (F.col(key).isNotNull() | (facts.select("n").scalar() == 0))
+    per_key = df.groupBy(key).agg(_rows().alias("_rows"), F.first(F.struct(*df.columns)).alias("_row"))
+    return per_key.filter((F.col("_rows") == 1) & decided).select("_row.*")
 
 
 class NotUniqueError(ValueError):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.calendar import in_window, month_window
-from tillroll.functions.numbers import money_avg, money_sum
+from tillroll.functions.numbers import money_avg, money_parts, money_total
 from tillroll.operators.joins import left_join_missing_keys, without_match
 from tillroll.operators.ranking import leaders, rank_within, top_k
 from tillroll.plans.tables import Tables
@@ -156,7 +156,7 @@ def new_user_brand_spend(tables: Tables, months: int = 6) -> DataFrame:
     per_barcode = (
         receipts.join(items, "receipt_id")
         .groupBy("barcode")
-        .agg(money_sum(F.col("final_price")).alias("spent"))
+        .agg(money_parts(F.col("final_price")).alias("spent"))
     )
     named = per_barcode.join(_brand_names(tables), "barcode", "left").select("brand_name", "spent")
     empty = without_match(receipts, items, "receipt_id").select(
@@ -165,7 +165,7 @@ def new_user_brand_spend(tables: Tables, months: int = 6) -> DataFrame:
     return (
         named.unionByName(empty)
         .groupBy("brand_name")
-        .agg(F.sum("spent").cast("double").alias("total_spent"))
+        .agg(money_total(F.col("spent")).alias("total_spent"))
         .orderBy(F.col("total_spent").desc_nulls_first(), F.col("brand_name").asc_nulls_last())
     )
 
@@ -177,7 +177,7 @@ def new_user_brand_transactions(tables: Tables, months: int = 6) -> DataFrame:
     per_receipt = (
         receipts.join(items, "receipt_id")
         .groupBy("receipt_id", "barcode")
-        .agg(money_sum(F.col("final_price")).alias("spent"))
+        .agg(money_parts(F.col("final_price")).alias("spent"))
     )
     named = left_join_missing_keys(per_receipt, _brand_names(tables), "barcode", "receipt_id")
     empty = without_match(receipts, items, "receipt_id").select(
@@ -191,7 +191,7 @@ def new_user_brand_transactions(tables: Tables, months: int = 6) -> DataFrame:
         .groupBy("brand_name")
         .agg(
             F.count_distinct("receipt_id").alias("total_transactions"),
-            F.sum("spent").cast("double").alias("total_spent"),
+            money_total(F.col("spent")).alias("total_spent"),
         )
         .orderBy(
             F.col("total_transactions").desc_nulls_first(),

@@ -148,20 +148,61 @@ def _unpublished(t: Tables) -> DataFrame:
     return publishing.unpublished(t.receipts, stored, "receipt_id")
 
 
+def _fed(spark: SparkSession, lines: DataFrame) -> str:
+    """The root of a feed that got the lines twice at once, and again in a later run."""
+    source, root, log = (scratch_path(spark, n) for n in ("feed-in", "feed-out", "feed-log"))
+    for arriving in (lines.unionAll(lines), lines):
+        arriving.write.mode("append").text(source)
+        start_receipt_feed(spark, source, root, log).awaitTermination()
+    return root
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receipts streamed from JSON files that hold every document twice."""
+    """Receipts streamed from JSON files that hold every document three times."""
     tables = fixtures.tables(configure(spark), sf_dir)
-    lines = fixtures.receipt_documents(tables.receipts)
-    source, sink, log = (scratch_path(spark, n) for n in ("feed-in", "feed-out", "feed-log"))
-    lines.unionAll(lines).write.text(source)
-    start_receipt_feed(spark, source, sink, log).awaitTermination()
+    root = _fed(spark, fixtures.receipt_documents(tables.receipts))
     return (
-        spark.read.parquet(sink)
+        publishing.read_published(spark, root, "receipts")
         .groupBy("rewards_receipt_status")
         .agg(F.count(F.lit(1)).alias("receipts"), F.sum("purchased_item_count").alias("items"))
     )
 
 
+def _streamed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a feed rejects of receipts whose open ones lost their end."""
+    tables = fixtures.tables(configure(spark), sf_dir)
+    lines = fixtures.receipt_documents(tables.receipts)
+    open_ = F.col("value").contains('"SUBMITTED"')
+    cut = F.when(open_, F.expr("substr(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+    root = _fed(spark, lines.select(cut.alias("value")))
+    rejects = publishing.read_rejected(spark, root, "receipts").groupBy(flatten.REASON)
+    return rejects.agg(F.count(F.lit(1)).alias("reason_rows"))
+
+
+def _republished(good: bool) -> Query:
+    """Receipts after their batch was published again: refused with repeated ids, or replaced."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = fixtures.tables(configure(spark), sf_dir)
+        root = scratch_path(spark, "republished")
+        receipts = tables.receipts.withColumns({c: F.col(c).cast("timestamp") for c, k in tables.receipts.dtypes if k == "timestamp_ntz"})
+        publishing.publish(spark, root, "batch", {"receipts": publishing.tag_plain(receipts)})
+        finished = receipts.filter("rewards_receipt_status = 'FINISHED'")
+        again = finished if good else finished.unionByName(finished)
+        try:
+            publishing.publish(spark, root, "batch", {"receipts": publishing.tag_plain(again)})
+        except publishing.ConstraintViolation:
+            if good:
+                raise
+        return (
+            publishing.read_published(spark, root, "receipts")
+            .groupBy("rewards_receipt_status")
+            .agg(F.count(F.lit(1)).alias("receipts"), F.count_distinct("receipt_id").alias("receipt_ids"))
+        )
+
+    return build
+
+
 # -- lookups ---------------------------------------------------------------------------
 
 
@@ -280,6 +321,9 @@ QUERIES: dict[str, Query] = {
     "publish_counts": _publish_counts,
     "unpublished_receipts": _on_tables(_unpublished),
     "streamed_receipts": _streamed,
+    "streamed_rejects": _streamed_rejects,
+    "republish_refused": _republished(good=False),
+    "republish_replaced": _republished(good=True),
 }
 
 
@@ -623,6 +667,15 @@ _VIEW_SQL: dict[str, str] = {
 ORACLE_SQL: dict[str, str] = {
     name: f"{fixtures.duckdb_views()} {text}" for name, text in _VIEW_SQL.items()
 } | {
+    "streamed_rejects": """
+        SELECT 'not valid JSON' AS reject_reason, 3 * count(*) AS reason_rows
+        FROM receipts WHERE rewards_receipt_status = 'SUBMITTED'""",
+    "republish_refused": """
+        SELECT rewards_receipt_status, count(*) AS receipts, count(DISTINCT receipt_id) AS receipt_ids
+        FROM receipts GROUP BY rewards_receipt_status""",
+    "republish_replaced": """
+        SELECT rewards_receipt_status, count(*) AS receipts, count(DISTINCT receipt_id) AS receipt_ids
+        FROM receipts WHERE rewards_receipt_status = 'FINISHED' GROUP BY rewards_receipt_status""",
     "json_line_errors": """
         SELECT CASE WHEN event_type = 'error' THEN 'not valid JSON' ELSE 'document has no id' END
                    AS reject_reason,

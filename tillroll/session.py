@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -17,11 +19,12 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # HotSpot does not compile methods above 8000 bytes of bytecode. Beyond that a fused
-    # stage runs interpreted and is slower than separately compiled expressions.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+#: For a session of one's own: HotSpot does not compile methods above 8000 bytes of bytecode.
+#: Beyond that a fused stage runs interpreted and is slower than separately compiled expressions.
+FUSED_CODE = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built."""
@@ -39,7 +42,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | FUSED_CODE).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -49,14 +52,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that every executor can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where neither
-    it nor a checkpoint directory is set (tests) is a local one made.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where neither it nor a
+    checkpoint directory is set, a session on one machine (tests) uses a folder of its own;
+    on a cluster that would be another folder on each machine, so it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="tillroll-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tillroll-')}"

@@ -47,10 +47,11 @@ def write_by_day(df: DataFrame, path: str, ts: str = "create_date") -> None:
     dated.hint("rebalance", "create_day").write.mode("overwrite").partitionBy("create_day").parquet(path)
 
 
-def write_bucketed(df: DataFrame, name: str, key: str = "receipt_id", buckets: int = 8) -> DataFrame:
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """A table bucketed and sorted by key: two of them join on it without a shuffle.
 
-    Meant for keys with few rows each, such as receipts; a bucket is read by one task.
+    Meant for keys with few rows each, such as receipts; a bucket is read by one task, so
+    choose as many that one fits a task's memory.
     """
     writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
     writer.saveAsTable(name)

@@ -2,20 +2,23 @@
 
 Layout below one root folder::
 
-    data/<table>/batch=<id>/verdict=accepted|rejected/...   rows of a batch
-    manifest/<id>/                                          what the batch holds
+    data/<table>/batch=<id>/attempt=<uuid>/verdict=accepted|rejected/...   rows of an attempt
+    manifest/...                              a file for each attempt that was published
 
-A batch is first written, then checked, and only then listed in a manifest. Readers follow
-the manifests, so a batch that failed on the way is invisible, and one that is published
-again under its id is replaced, not added a second time.
+Every call writes to folders of its own, checks them, and only then adds one manifest file.
+Readers follow the newest attempt of each batch. So a call that fails on the way is
+invisible and leaves what readers see as it was, and a batch that is published again under
+its id is replaced, not added a second time. Data that a manifest names is never touched.
 """
 
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tillroll import schemas
 from tillroll.operators.checks import key_violations, too_long
@@ -25,17 +28,13 @@ from tillroll.operators.joins import with_match, without_match
 log = logging.getLogger(__name__)
 
 ACCEPTED, REJECTED = "accepted", "rejected"
-MANIFEST = "batch string, table_name string, accepted_rows bigint, rejected_rows bigint, path string"
+MANIFEST = "batch string, number bigint, attempt string, table_name string, accepted_rows bigint, rejected_rows bigint"
 
 
 class ConstraintViolation(ValueError):
     """A batch that must not be published, with the tables and rules it breaks."""
 
 
-def _batch_path(root: str, table: str, batch: str) -> str:
-    return f"{root}/data/{table}/batch={batch}"
-
-
 def _write_rows(rows: DataFrame, path: str) -> tuple[int, int]:
     """Write accepted and rejected rows in one pass and count both on the way."""
     good = F.col(REASON).isNull()
@@ -45,7 +44,7 @@ def _write_rows(rows: DataFrame, path: str) -> tuple[int, int]:
         F.count_if(good).alias(ACCEPTED),
         F.count_if(~good).alias(REJECTED),
     )
-    counted.write.mode("overwrite").partitionBy("verdict").parquet(path)
+    counted.write.partitionBy("verdict").parquet(path)
     return seen.get[ACCEPTED], seen.get[REJECTED]
 
 
@@ -55,36 +54,39 @@ def tag_plain(df: DataFrame) -> DataFrame:
     return df.withColumns({REASON: nothing, SOURCE: nothing})
 
 
-def _rows(spark: SparkSession, table: str, paths: list[str]) -> DataFrame:
-    schema = schemas.TABLES[table]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*(f"{p}/verdict={ACCEPTED}" for p in paths))
-
-
 def manifests(spark: SparkSession, root: str) -> DataFrame:
-    """One row per published batch and table."""
-    files = spark.read.schema(MANIFEST).option("recursiveFileLookup", "true")
-    return files.json(f"{root}/manifest")
+    """One row per table of the newest published attempt of each batch."""
+    files = spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").json(f"{root}/manifest")
+    newest = files.groupBy("batch").agg(F.max(F.struct("number", "attempt")).alias("newest"))
+    newest = newest.select("batch", F.col("newest.attempt").alias("attempt"))
+    return files.join(newest, ["batch", "attempt"])
 
 
-def _paths(spark: SparkSession, root: str, table: str, but: str | None = None) -> list[str]:
-    """Folders of a table's published batches (metadata: a row per batch)."""
-    listed = manifests(spark, root).filter((F.col("table_name") == table) & (F.col("accepted_rows") > 0))
-    return [row.path for row in listed.collect() if row.batch != but]
+def _stored(spark: SparkSession, root: str, table: str, schema, verdict: str, but: str | None) -> DataFrame:
+    """Rows of a verdict in the published attempts.
+
+    The attempts are joined by the folders' names, so that the others' files aren't read.
+    """
+    listed = manifests(spark, root).filter((F.col("table_name") == table) & (F.col(f"{verdict}_rows") > 0))
+    if but is not None:
+        listed = listed.filter(F.col("batch") != but)
+    if listed.isEmpty():
+        return spark.createDataFrame([], schema)
+    partitions = StructType([StructField(c, StringType()) for c in ("batch", "attempt", "verdict")])
+    rows = spark.read.schema(StructType([*schema, *partitions])).parquet(f"{root}/data/{table}")
+    rows = rows.filter(F.col("verdict") == verdict)
+    return rows.join(listed, ["batch", "attempt"], "left_semi").select(*[f.name for f in schema])
 
 
-def read_published(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """All accepted rows of a table's published batches."""
-    return _rows(spark, table, _paths(spark, root, table))
+def read_published(spark: SparkSession, root: str, table: str, but: str | None = None) -> DataFrame:
+    """All accepted rows of a table's published batches, without those of the batch ``but``."""
+    return _stored(spark, root, table, schemas.TABLES[table], ACCEPTED, but)
 
 
 def read_rejected(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Reason and source of all rejected rows of a table's published batches."""
-    listed = manifests(spark, root).filter((F.col("table_name") == table) & (F.col("rejected_rows") > 0))
-    paths = [f"{row.path}/verdict={REJECTED}" for row in listed.collect()]
-    schema = f"{REASON} string, {SOURCE} string"
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    schema = StructType([StructField(c, StringType()) for c in (REASON, SOURCE)])
+    return _stored(spark, root, table, schema, REJECTED, None)
 
 
 def broken_rules(table: str, rows: DataFrame, published: DataFrame) -> list[str]:
@@ -99,7 +101,8 @@ def broken_rules(table: str, rows: DataFrame, published: DataFrame) -> list[str]
     if key:
         if not key_violations(rows, key).isEmpty():
             broken.append(f"{table}: {key} is missing or not unique")
-        if not with_match(rows.select(key), published, key).isEmpty():
+        # The new keys are the side to look for, so that the work follows the batch.
+        if not with_match(published.select(key), rows, key).isEmpty():
             broken.append(f"{table}: {key} is already published")
     return broken
 
@@ -112,25 +115,28 @@ def publish(spark: SparkSession, root: str, batch: str, tables: dict[str, DataFr
     """
     # A root that has no manifest folder yet gets an empty one.
     spark.createDataFrame([], MANIFEST).write.mode("ignore").json(f"{root}/manifest")
-    listed, broken = [], []
+    before = manifests(spark, root).filter(F.col("batch") == batch).agg(F.max("number")).first()[0]
+    attempt, listed, broken = uuid.uuid4().hex, [], []
     for name in (t for t in schemas.TABLES if t in tables):
-        path = _batch_path(root, name, batch)
+        path = f"{root}/data/{name}/batch={batch}/attempt={attempt}"
         good, bad = _write_rows(tables[name], path)
         if good:
-            rows = _rows(spark, name, [path])
-            published = _rows(spark, name, _paths(spark, root, name, but=batch))
-            broken += broken_rules(name, rows, published)
+            rows = spark.read.schema(schemas.TABLES[name]).parquet(f"{path}/verdict={ACCEPTED}")
+            broken += broken_rules(name, rows, read_published(spark, root, name, but=batch))
             log.info("%s: %d rows, %d rejected", name, good, bad)
         else:
             log.warning("%s: no rows to publish, %d rejected", name, bad)
-        listed.append((batch, name, good, bad, path))
+        listed.append((batch, (before or 0) + 1, attempt, name, good, bad))
     if broken:
         raise ConstraintViolation("; ".join(broken))
     manifest = spark.createDataFrame(listed, MANIFEST)
-    manifest.coalesce(1).write.mode("overwrite").json(f"{root}/manifest/{batch}")
+    manifest.coalesce(1).write.mode("append").json(f"{root}/manifest")
     return manifest
 
 
 def unpublished(new: DataFrame, published: DataFrame, key: str) -> DataFrame:
-    """Rows of an export that are not published yet: only these need to be loaded."""
-    return without_match(new, published, key)
+    """Rows of an export that are not published yet: only these need to be loaded.
+
+    Of the published keys only those among the new ones are kept and deduplicated.
+    """
+    return without_match(new, with_match(published.select(key), new, key), key)

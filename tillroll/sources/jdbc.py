@@ -33,5 +33,6 @@ def append_jdbc(df: DataFrame, table: str, options: dict[str, str], connections:
     Each task commits on its own, so a failed job may leave rows behind: write to a
     loading table and let the database move the rows in one transaction.
     """
-    writer = df.write.format("jdbc").mode("append").options(**options)
-    writer.option("dbtable", table).option("numPartitions", str(connections)).save()
+    # Dealt out before the write, so that only the write is as narrow as the connections.
+    writer = df.repartition(connections).write.format("jdbc").mode("append").options(**options)
+    writer.option("dbtable", table).save()

@@ -1,41 +1,44 @@
-"""Receipts as a stream of JSON-lines files, for loading them as they arrive."""
+"""Receipts as a stream of JSON-lines files, published as they arrive."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tillroll.operators.flatten import accepted, flatten_receipts
+from tillroll.operators.flatten import REASON, flatten_receipts
+from tillroll.sinks.publish import publish, read_published, unpublished
 from tillroll.sources.jsonl import parse_lines
 
 
-def receipt_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Flattened receipts of a folder that new files keep arriving in."""
-    return flatten_receipts(parse_lines(spark.readStream.text(path)))
+def publish_receipts(lines: DataFrame, root: str, batch: str) -> None:
+    """Publish the receipts of some JSON lines that are not stored yet, and all rejects.
 
+    Of repeats within the lines one is kept; receipts that other batches hold are left out.
+    A batch that is published again replaces its first attempt.
+    """
+    spark = lines.sparkSession
+    rows = flatten_receipts(parse_lines(lines))
+    new = rows.filter(F.col(REASON).isNull()).dropDuplicates(["receipt_id"])
+    try:
+        stored = read_published(spark, root, "receipts", but=batch)
+        new = unpublished(new, stored, "receipt_id").select(*rows.columns)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # nothing is published below this root yet
+            raise
+    publish(spark, root, batch, {"receipts": new.unionByName(rows.filter(F.col(REASON).isNotNull()))})
+
+
+def start_receipt_feed(spark: SparkSession, source: str, root: str, checkpoint: str, name: str = "feed") -> StreamingQuery:
+    """Publish what has arrived and stop; start again to continue where it stopped.
+
+    Each micro-batch is a batch of its own below ``root``, named after its number, so one
+    that is replayed after a failure replaces itself.
+    """
 
-def dedup_stream(receipts: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Receipts without repeats of an id that arrive within ``delay`` of the first one.
+    def load(lines: DataFrame, number: int) -> None:
+        publish_receipts(lines, root, f"{name}-{number}")
 
-    The watermark follows the time of arrival, which Spark fixes per micro-batch in its
-    log: a replayed batch sees the same time, and no row is ever too late to be kept,
-    however old the receipt is. Ids leave the state when ``delay`` has passed.
-    """
-    arriving = accepted(receipts).withColumn("arrived", F.current_timestamp())
-    unique = arriving.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["receipt_id"])
-    return unique.drop("arrived")
-
-
-def start_receipt_feed(
-    spark: SparkSession, source: str, sink: str, checkpoint: str, delay: str = "7 days"
-) -> StreamingQuery:
-    """Load what has arrived and stop; start again to continue where it stopped."""
-    stream = dedup_stream(receipt_stream(spark, source), delay)
-    writer = stream.writeStream.format("parquet").outputMode("append")
-    return (
-        writer.option("path", sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    stream = spark.readStream.text(source).writeStream.foreachBatch(load)
+    return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
