@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.columns import text_of
@@ -102,9 +102,10 @@ class Shingles:
         return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64))
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the number of tokens at each bit; the width follows the set's size."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(s) - 1).bit_length()))
+def bitmap(s: np.ndarray, percent: int) -> bytes:
+    """Parity of the number of tokens at each bit; five bits at least for each token two may differ in."""
+    differ = 2 * len(s) * (100 - percent) // (100 + percent)
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (5 * differ).bit_length()))
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -289,7 +290,7 @@ def join_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
             sets = [shingles.of(t) for t in frame["text"]]
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"].astype("Int64"), "sid": [shingles.name(s) for s in sets],
-                "n": [len(s) for s in sets], "bits": [bitmap(s) if len(s) else b"" for s in sets],
+                "n": [len(s) for s in sets], "bits": [bitmap(s, percent) if len(s) else b"" for s in sets],
             })
 
     def prefix(heavy):
@@ -327,8 +328,8 @@ def join_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     heavy = spark.sparkContext.broadcast(np.sort(many.view(np.uint64)))
     index = prefix(heavy).repartition("token").groupBy("token", "sid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     # Lists of two and more, with their lengths.
-    lengths = index.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
-    entries = index.join(lengths, "token").join(sets.select("sid", "bits"), "sid")
+    listed = index.withColumn("length", F.count("*").over(Window.partitionBy("token"))).where("length > 1")
+    entries = listed.join(sets.select("sid", "bits"), "sid")
     dealt = _cells(entries, "length", LIST_BLOCK).repartition("token", "cell").sortWithinPartitions("token", "cell", "n")
     likely = dealt.select("token", "cell", "block", "single", "sid", "n", "pos", "bits").mapInPandas(candidate_edges(percent), "a long, b long")
     groups = written(components(likely, "jaccard-likely"), "jaccard-groups")
