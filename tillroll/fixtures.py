@@ -114,8 +114,8 @@ def duckdb_views() -> str:
     views = [f"{name} AS ({text.format(**names)})" for name, text in VIEWS.items()]
     views += [
         "users_dedup AS (SELECT DISTINCT * FROM users)",
-        "brands_cleaned AS (SELECT * FROM brands WHERE barcode IN "
-        "(SELECT barcode FROM brands GROUP BY barcode HAVING count(*) = 1))",
+        "brands_cleaned AS (SELECT * FROM brands WHERE barcode NOT IN "
+        "(SELECT barcode FROM brands GROUP BY barcode HAVING count(*) > 1))",
     ]
     return "WITH " + ", ".join(views)
 

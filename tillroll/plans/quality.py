@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.numbers import percent
-from tillroll.operators.checks import domain_check, null_profile
+from tillroll.operators.checks import domain_check
 from tillroll.operators.joins import left_join_heavy_right, left_join_missing_keys
-from tillroll.operators.keys import duplicate_excess, duplicate_keys
+from tillroll.operators.keys import duplicate_excess
 from tillroll.operators.linkage import linkage_summary
 from tillroll.plans.tables import Tables
 
@@ -29,15 +29,16 @@ def star_view(tables: Tables, receipts: DataFrame | None = None) -> DataFrame:
     u = _prefixed(tables.users_dedup, "u").withColumn("r_user_id", F.col("u_user_id"))
     i = _prefixed(tables.items, "i").withColumn("r_receipt_id", F.col("i_receipt_id"))
     b = _prefixed(tables.brands_cleaned, "b").withColumn("i_barcode", F.col("b_barcode"))
-    with_users = left_join_missing_keys(r, u, "r_user_id", "r_receipt_id")
-    with_items = left_join_heavy_right(with_users, i, "r_receipt_id")
-    return left_join_missing_keys(with_items, b, "i_barcode", "r_receipt_id")
+    # Receipts are split into those with and without items before anything else is joined, so
+    # that users and brands are read and joined once.
+    with_items = left_join_heavy_right(r, i, "r_receipt_id")
+    with_users = left_join_missing_keys(with_items, u, "r_user_id", "r_receipt_id")
+    star = left_join_missing_keys(with_users, b, "i_barcode", "r_receipt_id")
+    return star.select(*r.columns, *(c for c in u.columns if c not in r.columns), *(c for c in i.columns if c not in r.columns), *(c for c in b.columns if c != "i_barcode"))
 
 
-def _issue(
-    figures: DataFrame, issue: str, table: str, affected: Column, of: Column, resolution: str
-) -> DataFrame:
-    return figures.select(
+def _issue(issue: str, table: str, affected: Column, of: Column, resolution: str) -> Column:
+    return F.struct(
         F.lit(issue).alias("issue"),
         F.lit(table).alias("table_name"),
         affected.cast("bigint").alias("affected"),
@@ -47,38 +48,50 @@ def _issue(
     )
 
 
+def _issues(figures: DataFrame, *issues: Column) -> DataFrame:
+    """Rows for the issues that one row of figures tells of."""
+    return figures.select(F.inline(F.array(*issues)))
+
+
 def issue_report(tables: Tables, required_status: str = "ACCEPTED") -> DataFrame:
-    """One row per known kind of data-quality issue, with its extent and what to do."""
+    """One row per known kind of data-quality issue, with its extent and what to do.
+
+    Figures that one aggregation gives are taken from it together.
+    """
     col = F.col
     copies = duplicate_excess(tables.users, "user_id")
-    shared = duplicate_keys(tables.brands.filter("barcode IS NOT NULL"), "barcode").agg(
-        F.coalesce(F.sum("key_rows"), F.lit(0)).alias("shared_rows")
+    per_barcode = tables.brands.groupBy("barcode").agg(F.count(F.lit(1)).alias("key_rows"))
+    shared_by = col("barcode").isNotNull() & (col("key_rows") > 1)
+    shared = per_barcode.agg(
+        F.coalesce(F.sum(F.when(shared_by, col("key_rows"))), F.lit(0)).alias("shared_rows"),
+        F.coalesce(F.sum("key_rows"), F.lit(0)).alias("brand_rows"),
     )
-    brand_rows = tables.brands.agg(F.count(F.lit(1)).alias("n")).scalar()
     items = linkage_summary(tables.receipts, tables.items, "receipt_id")
     users = linkage_summary(tables.receipts, tables.users_dedup, "user_id")
     brands = linkage_summary(tables.items, tables.brands_cleaned, "barcode")
-    missing = null_profile(tables.items, ["barcode"])
     statuses = domain_check(tables.receipts, "rewards_receipt_status", [required_status])
     absent = statuses.agg(
         F.count_if(col("status") == "absent").alias("absent"), F.count_if("is_expected").alias("listed")
     )
     issues = [
-        _issue(copies, "duplicate rows", "users", col("excess_rows"), col("total_rows"),
-               "join to the deduplicated users"),
-        _issue(shared, "barcode of several brands", "brands", col("shared_rows"), brand_rows,
-               "left out until the owner of the barcode is known"),
-        _issue(items, "receipts without items", "receipts", col("left_orphans"), col("left_keys"),
-               "ask whether the scan was incomplete"),
-        _issue(users, "receipt users without user record", "receipts", col("left_orphans"),
-               col("left_keys"), "ask for a full user export"),
-        _issue(brands, "item barcodes without brand", "items", col("left_orphans"),
-               col("left_keys"), "complete the brand catalogue"),
-        _issue(brands, "brand barcodes without items", "brands", col("right_orphans"),
-               col("right_keys"), "check how barcodes are recorded"),
-        _issue(missing, "items without barcode", "items", col("null_rows"), col("total_rows"),
-               "flag for review when loading"),
-        _issue(absent, f"status {required_status} never used", "receipts", col("absent"),
-               col("listed"), "ask for the list of statuses"),
+        _issues(copies, _issue("duplicate rows", "users", col("excess_rows"), col("total_rows"),
+               "join to the deduplicated users")),
+        _issues(shared, _issue("barcode of several brands", "brands", col("shared_rows"), col("brand_rows"),
+               "left out until the owner of the barcode is known")),
+        _issues(items, _issue("receipts without items", "receipts", col("left_orphans"), col("left_keys"),
+               "ask whether the scan was incomplete")),
+        _issues(users, _issue("receipt users without user record", "receipts", col("left_orphans"),
+               col("left_keys"), "ask for a full user export")),
+        _issues(
+            brands,
+            _issue("item barcodes without brand", "items", col("left_orphans"),
+                   col("left_keys"), "complete the brand catalogue"),
+            _issue("brand barcodes without items", "brands", col("right_orphans"),
+                   col("right_keys"), "check how barcodes are recorded"),
+            _issue("items without barcode", "items", col("left_null_rows"), col("left_rows"),
+                   "flag for review when loading"),
+        ),
+        _issues(absent, _issue(f"status {required_status} never used", "receipts", col("absent"),
+               col("listed"), "ask for the list of statuses")),
     ]
     return reduce(DataFrame.unionByName, issues)

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from tillroll import fixtures
 from tillroll.functions.calendar import month_window
+from tillroll.functions.numbers import nan_to_null
 from tillroll.operators import checks, flatten, joins, keys, linkage
 from tillroll.plans import marts, quality
 from tillroll.plans.tables import Tables
 from tillroll.session import configure, scratch_path
+from tillroll.sinks import catalog
 from tillroll.sinks import publish as publishing
 from tillroll.sources.catalog import preview
-from tillroll.sources.jsonl import parse_lines
+from tillroll.sources.jsonl import parse_lines, read_jsonl, require_documents
 from tillroll.streaming.feed import start_receipt_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,6 +205,55 @@ def _republished(good: bool) -> Query:
     return build
 
 
+def _file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipt documents read from files, with a blank line behind each and open receipts cut."""
+    tables = fixtures.tables(configure(spark), sf_dir)
+    path = scratch_path(spark, "documents")
+    text = F.col("value")
+    cut = F.when(text.contains('"SUBMITTED"'), F.expr("substr(value, 1, length(value) - 1)")).otherwise(text)
+    fixtures.receipt_documents(tables.receipts).select(F.concat(cut, F.lit("\n  ")).alias("value")).write.text(path)
+    rows = flatten.flatten_receipts(read_jsonl(spark, path, "lenient"))
+    return rows.groupBy(flatten.REASON).agg(F.count(F.lit(1)).alias("reason_rows"))
+
+
+def _strict_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brand documents read from files by a strict source that must not be empty."""
+    tables = fixtures.tables(configure(spark), sf_dir)
+    path = scratch_path(spark, "documents")
+    fixtures.brand_documents(tables.brands).write.text(path)
+    documents = require_documents(read_jsonl(spark, path, "strict"), "brands")
+    return _without_zone(flatten.accepted(flatten.flatten_brands(documents)))
+
+
+def _nan_amounts(t: Tables) -> DataFrame:
+    """Prices where those under review are NaN, which counts as missing."""
+    price = F.when(F.col("needs_fetch_review"), F.lit(float("nan"))).otherwise(F.col("final_price"))
+    return t.items.select(nan_to_null(price).alias("price")).agg(
+        F.count(F.lit(1)).alias("item_rows"), F.count("price").alias("priced_rows"), F.max("price").alias("top_price")
+    )
+
+
+def _publish_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of whose items none can be stored: listed without rows, the rejects kept."""
+    tables = fixtures.tables(configure(spark), sf_dir)
+    root = scratch_path(spark, "rejected")
+    text = F.concat(F.lit('{"_id":{"$oid":"'), "receipt_id", F.lit('"},"rewardsReceiptItemList":[{"finalPrice":null}]}'))
+    items = flatten.flatten_items(parse_lines(tables.items.select(text.alias("value"))))
+    publishing.publish(spark, root, "batch", {"items": items})
+    return publishing.manifests(spark, root).select("table_name", "accepted_rows", "rejected_rows").crossJoin(
+        publishing.read_rejected(spark, root, "items").agg(F.count(F.lit(1)).alias("kept_rejects"))
+    )
+
+
+def _by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts per day, from files that are partitioned by day."""
+    tables = fixtures.tables(configure(spark), sf_dir)
+    path = scratch_path(spark, "days")
+    catalog.write_by_day(tables.receipts, path)
+    days = spark.read.parquet(path).groupBy(F.col("create_day").alias("day"))
+    return days.agg(F.count(F.lit(1)).alias("day_rows"))
+
+
 # -- lookups ---------------------------------------------------------------------------
 
 
@@ -322,6 +373,11 @@ QUERIES: dict[str, Query] = {
     "unpublished_receipts": _on_tables(_unpublished),
     "streamed_receipts": _streamed,
     "streamed_rejects": _streamed_rejects,
+    "file_line_errors": _file_lines,
+    "file_brands_strict": _strict_file,
+    "nan_amounts": _on_tables(_nan_amounts),
+    "publish_all_rejected": _publish_rejected,
+    "receipts_by_day": _by_day,
     "republish_refused": _republished(good=False),
     "republish_replaced": _republished(good=True),
 }
@@ -662,20 +718,34 @@ _VIEW_SQL: dict[str, str] = {
         SELECT rewards_receipt_status, count(*) AS receipts,
                CAST(sum(purchased_item_count) AS bigint) AS items
         FROM receipts GROUP BY rewards_receipt_status""",
-}
-
-ORACLE_SQL: dict[str, str] = {
-    name: f"{fixtures.duckdb_views()} {text}" for name, text in _VIEW_SQL.items()
-} | {
     "streamed_rejects": """
         SELECT 'not valid JSON' AS reject_reason, 3 * count(*) AS reason_rows
         FROM receipts WHERE rewards_receipt_status = 'SUBMITTED'""",
+    "file_line_errors": """
+        SELECT CASE WHEN rewards_receipt_status = 'SUBMITTED' THEN 'not valid JSON' END AS reject_reason,
+               count(*) AS reason_rows
+        FROM receipts GROUP BY reject_reason""",
+    "file_brands_strict": "SELECT * FROM brands",
+    "nan_amounts": """
+        SELECT count(*) AS item_rows, count(*) FILTER (needs_fetch_review IS NOT TRUE) AS priced_rows,
+               max(final_price) FILTER (needs_fetch_review IS NOT TRUE) AS top_price
+        FROM items""",
+    "publish_all_rejected": """
+        SELECT 'items' AS table_name, 0::bigint AS accepted_rows, count(*) AS rejected_rows, count(*) AS kept_rejects
+        FROM items""",
+    "receipts_by_day": """
+        SELECT CAST(create_date AS date) AS day, count(*) AS day_rows FROM receipts GROUP BY day""",
     "republish_refused": """
         SELECT rewards_receipt_status, count(*) AS receipts, count(DISTINCT receipt_id) AS receipt_ids
         FROM receipts GROUP BY rewards_receipt_status""",
     "republish_replaced": """
         SELECT rewards_receipt_status, count(*) AS receipts, count(DISTINCT receipt_id) AS receipt_ids
         FROM receipts WHERE rewards_receipt_status = 'FINISHED' GROUP BY rewards_receipt_status""",
+}
+
+ORACLE_SQL: dict[str, str] = {
+    name: f"{fixtures.duckdb_views()} {text}" for name, text in _VIEW_SQL.items()
+} | {
     "json_line_errors": """
         SELECT CASE WHEN event_type = 'error' THEN 'not valid JSON' ELSE 'document has no id' END
                    AS reject_reason,
