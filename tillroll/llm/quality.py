@@ -115,7 +115,7 @@ def _stump(g: np.ndarray, h: np.ndarray, axis: int | None = None, depth: int = 2
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 60, n_pairs: int = 6, rate: float = 0.15, bins: int = 32, coarse: int = 8) -> Additive:
     """Cyclic boosting of shallow trees: first all single features, then the best pairs."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Additive(base=float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     cut = lambda n: [np.unique(np.quantile(x[:, j], np.linspace(0, 1, n + 1)[1:-1])) for j in range(x.shape[1])]
     model = Additive(base=float(np.log(share / (1 - share))), edges=cut(bins), coarse=cut(coarse))
