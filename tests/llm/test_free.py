@@ -96,6 +96,9 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     rows += [(200 + i, " ".join(base[:40] + [f"v{i}_{j}" for j in range(100)])) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert classes(df, 3, 90) == brute_classes(rows, 3, 90)
+    unnamed = [(None if i % 3 else i, t) for i, t in rows] + [(None, rows[0][1])] * 5
+    df = spark.createDataFrame(unnamed, "doc_id long, text string").repartition(4)
+    assert classes(df, 3, 90) == brute_classes(unnamed, 3, 90)
 
 
 def test_components(spark):

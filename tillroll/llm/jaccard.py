@@ -282,14 +282,15 @@ def join_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     n_links: how many other documents the document links to.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    # The text's own hash tells rows without an id apart.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("hash", F.xxhash64("text"))
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(k)
         for frame in frames:
             sets = [shingles.of(t) for t in frame["text"]]
             yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype("Int64"), "sid": [shingles.name(s) for s in sets],
+                "doc_id": frame["doc_id"].astype("Int64"), "hash": frame["hash"], "sid": [shingles.name(s) for s in sets],
                 "n": [len(s) for s in sets], "bits": [bitmap(s, percent) if len(s) else b"" for s in sets],
             })
 
@@ -316,10 +317,14 @@ def join_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
                 if tokens:
                     yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "sid": sids, "n": ns, "pos": np.concatenate(poss)})
 
-        return rows.mapInPandas(entries, "token long, sid long, n int, pos int")
+        return rows.select("text").mapInPandas(entries, "token long, sid long, n int, pos int")
 
-    meta = written(rows.mapInPandas(measure, "doc_id long, sid long, n int, bits binary"), "jaccard-meta")
-    sets = meta.where("n > 0").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"))
+    meta = written(rows.mapInPandas(measure, "doc_id long, hash long, sid long, n int, bits binary"), "jaccard-meta")
+    # `row` leads to one of the set's texts: the one with the smallest id.
+    sets = meta.where("n > 0").groupBy("sid").agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("row"), F.first("bits").alias("bits"),
+    )
     none = spark.sparkContext.broadcast(np.empty(0, np.uint64))
     held = prefix(none).groupBy("token").count()
     # Not more than MOST_HEAVY tokens can have so many entries.
@@ -334,19 +339,19 @@ def join_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     likely = dealt.select("token", "cell", "block", "single", "sid", "n", "pos", "bits").mapInPandas(candidate_edges(percent), "a long, b long")
     groups = written(components(likely, "jaccard-likely"), "jaccard-groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    wanted = groups.join(sizes, "root").join(sets.select("sid", "copies", "doc_id"), groups["node"] == F.col("sid")).select("doc_id", "sid", "root", "members", "copies")
+    wanted = groups.join(sizes, "root").join(sets.select("sid", "copies", "row"), groups["node"] == F.col("sid")).select("row.doc_id", "row.hash", "sid", "root", "members", "copies")
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, seen = Shingles(k), set()
         for frame in frames:
             got = [shingles.of(t) for t in frame["text"]]
             frame["tokens"] = [s.tobytes() for s in got]
-            # An id may have several texts, and copies of the wanted one.
+            # The wanted row may be there several times.
             fits = np.array([shingles.name(s) == w and not (w in seen or seen.add(w)) for s, w in zip(got, frame["sid"], strict=True)], dtype=bool)
             yield frame.loc[fits, ["sid", "root", "members", "copies", "tokens"]]
 
     payload = (
-        rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "sid", "root", "members", "copies")
+        rows.join(wanted, (rows["hash"] == wanted["hash"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "sid", "root", "members", "copies")
         .mapInPandas(tokens, "sid long, root long, members long, copies long, tokens binary")
     )
     dealt = _cells(payload, "members", SET_BLOCK).repartition("root", "cell").dropDuplicates(["root", "cell", "sid"]).sortWithinPartitions("root", "cell", "sid")
