@@ -109,6 +109,13 @@ def test_mixing(docs, no_docs):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_mixing_without_ids(spark):
+    rows = [(None if i % 2 else 7, " ".join(["w"] * (i % 11)), "ab"[i % 3 > 0]) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once, again = (sorted(map(str, mixing.mix(frame.repartition(n)).collect())) for n in (2, 7))
+    assert once == again and len(once) == 200
+
+
 def test_mixed_corpus(docs, no_docs):
     mixed = mixing.apply_mix(docs)
     assert mixed.columns == docs.columns

@@ -56,7 +56,8 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share=SHARE, epochs=EPO
     its target without the fraction. `keep` names more columns to carry along.
     """
     text = text_of()
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))
+    # With the text's hash, as an id may be missing or repeated.
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(text).cast("string")).cast("binary"))
     sized = written(
         docs.select(
             "doc_id", "source", *keep, word_count(text).alias("size"), key.alias("key"),
@@ -75,7 +76,7 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share=SHARE, epochs=EPO
         .join(budget, "src")
         .withColumn("rest", F.floor("target") - F.col("whole") * F.col("source_size"))
     )
-    inside = Window.partitionBy("src", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("src", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("ahead") + F.col("upto") - F.col("size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
     return (
