@@ -23,11 +23,13 @@ MODES = ("lenient", "strict")
 # ('{"a": 1} oops'). A line is therefore parsed as the first element of an array that
 # has this mark as its second and last element.
 _MARK = "end of line"
+# The parser refuses longer single texts; by default those of 20 million characters.
+_LONGEST = str((1 << 31) - 1)
 
 
 def _parse(line: Column) -> Column:
     wrapped = F.concat(F.lit("["), line, F.lit(f',"{_MARK}"]'))
-    return F.from_json(wrapped, "variant", {"allowSingleQuotes": "false"})
+    return F.from_json(wrapped, "variant", {"allowSingleQuotes": "false", "maxStringLen": _LONGEST})
 
 
 def _first_element(parsed: Column) -> Column:
