@@ -88,7 +88,20 @@ def test_missing_keys_are_spread(spark):
 
     with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
         assert largest_share(left.join(right, "k", "left")) > 0.7
-        assert largest_share(joins.left_join_missing_keys(left, right, "k", "row")) < 0.2
+        spread = joins.left_join_missing_keys(left, right, "k", "row")
+        assert largest_share(spread) < 0.2
+        # The exchange of the left side carries the spread: nothing folded it away.
+        exchanges = [line for line in plan(spread).splitlines() if "Exchange hashpartitioning" in line]
+        assert any("hash(row" in line for line in exchanges)
+
+
+def test_missing_keys_match_nothing(spark):
+    left = spark.createDataFrame([(None, "a"), ("x", "b"), ("y", "c"), (None, "d"), ("x", "e")], "k string, row string")
+    right = spark.createDataFrame([(None, 1), ("x", 2), (None, 3), ("z", 4)], "k string, v int")
+    for threshold in ("-1", "10MB"):
+        with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": threshold}):
+            got = joins.left_join_missing_keys(left, right, "k", "row").collect()
+            assert sorted(map(tuple, got), key=lambda r: r[1]) == [(None, "a", None), ("x", "b", 2), ("y", "c", None), (None, "d", None), ("x", "e", 2)]
 
 
 def test_marts_on_hot_keys_equal_plain_sql(spark, hot):

@@ -10,15 +10,19 @@ def left_join_missing_keys(left: DataFrame, right: DataFrame, key: str, spread_b
     """Left outer join for a left side whose key is often NULL.
 
     A plain left join hashes all rows with a NULL key to one partition, though none of
-    them can match. Here rows travel under the key and a salt, which is 0 for rows with a
-    key and a hash of ``spread_by`` for those without. Oversized partitions of a hot
-    non-null key are split by AQE (a left outer join may split its left side).
+    them can match. Here rows travel under the pair of the key and, where it is missing, a
+    hash of ``spread_by``. Pairs are compared whole, so neither part can be decided before
+    the shuffle; right rows without a key are left out, so a missing key equals none of
+    theirs. Oversized partitions of a hot non-null key are split by AQE (a left outer join
+    may split its left side).
     """
     columns = [c for c in right.columns if c != key]
-    right = right.select(F.col(key).alias("_right_key"), F.lit(0).alias("_right_salt"), *columns)
-    salt = F.when(F.col(key).isNull(), F.hash(spread_by)).otherwise(F.lit(0))
-    condition = (F.col(key) == right["_right_key"]) & (salt == right["_right_salt"])
-    return left.join(right, condition, "left").select(*left.columns, *columns)
+    spread = F.when(F.col(key).isNull(), F.hash(spread_by))
+    right = right.filter(F.col(key).isNotNull()).select(
+        F.struct(F.col(key).alias("key"), F.lit(None).cast("int").alias("spread")).alias("_right_key"), *columns
+    )
+    travels = F.struct(F.col(key).alias("key"), spread.alias("spread"))
+    return left.join(right, travels == F.col("_right_key"), "left").select(*left.columns, *columns)
 
 
 def left_join_heavy_right(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
