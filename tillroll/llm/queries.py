@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import chat, fingerprints, jaccard, licenses, mixing, neighbours, packing, quality, sharding, viterbi
+from tillroll.llm import chat, clustering, exact_search, fingerprints, jaccard, lexical, licenses, mixing, neighbours, packing, quality, sharding, viterbi
 
 TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -56,6 +56,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings")).drop("measured")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_fingerprints": op2_fingerprints,
@@ -67,8 +79,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_exact_search": op11_exact_search,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_clustering": op13_clustering,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_license_scans": licenses.oracle(),
+    "op11_exact_search": exact_search.oracle(),
+    "op12_lexical_search": lexical.oracle(),
+    "op13_clustering": clustering.oracle(),
 }
