@@ -7,14 +7,21 @@ import uuid
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
+from tests.plans import scans
+from tests.test_skew import plan, settings
 from tillroll import schemas
+from tillroll.operators.linkage import linkage_profile, profile_of
 from tillroll.operators.flatten import FLATTEN
 from tillroll.sinks import catalog
+from tillroll.sinks import publish as publishing
 from tillroll.sinks.publish import (
+    ConcurrentPublish,
     ConstraintViolation,
     manifests,
     publish,
+    published_keys,
     read_published,
     read_rejected,
     tag_plain,
@@ -175,3 +182,95 @@ def test_jdbc_options():
     options = jdbc_options("db.example.org", "shop", "me", "secret", batch_size=500)
     assert options["url"] == "jdbc:postgresql://db.example.org:5432/shop"
     assert (options["user"], options["password"], options["batchsize"]) == ("me", "secret", "500")
+
+
+def plain_receipts(spark, *names):
+    return {"receipts": flat(spark, "receipts", *(receipt(n) for n in names))}
+
+
+def test_of_two_publishers_one_is_refused(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    publish(spark, root, "zero", plain_receipts(spark, "a"))
+    create = publishing.create_once
+
+    def slow(session, path, text):
+        """Another publisher of the same key comes first."""
+        with monkeypatch.context() as m:
+            m.setattr(publishing, "create_once", create)
+            publish(spark, root, "other", plain_receipts(spark, "b"))
+        return create(session, path, text)
+
+    with monkeypatch.context() as m:
+        m.setattr(publishing, "create_once", slow)
+        with pytest.raises(ConcurrentPublish):
+            publish(spark, root, "mine", plain_receipts(spark, "b"))
+    assert ids(read_published(spark, root, "receipts")) == ["a", "b"]
+    assert {r.batch for r in manifests(spark, root).collect()} == {"zero", "other"}
+    with pytest.raises(ConstraintViolation, match="already published"):
+        publish(spark, root, "mine", plain_receipts(spark, "b"))
+    # Nothing is left of refused attempts.
+    assert not list((tmp_path / "data" / "receipts").glob("batch=mine/attempt=*"))
+
+
+def test_cost_of_a_batch_does_not_grow_with_history(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    monkeypatch.setattr(publishing, "COMPLETE", 3)
+    monkeypatch.setattr(publishing, "BUCKETS", 8)
+    asked = spark.createDataFrame([("b0-1",), ("new",)], "receipt_id string")
+    seen = []
+    for i in range(7):
+        publish(spark, root, f"b{i}", plain_receipts(spark, *(f"b{i}-{k}" for k in range(20))))
+        known = published_keys(spark, root, "receipts", asked)
+        assert ids(known) == ["b0-1"]
+        read = [s for s in scans(known) if "row_attempt" in s["plan"]]
+        assert sum(s["partitions"] for s in read) <= 2
+        seen.append((sum(s["files"] for s in read), len(publishing._manifest_files(spark, root)[1])))
+    assert max(f for f, _ in seen) <= 2 and max(m for _, m in seen) <= 3
+    assert len(ids(read_published(spark, root, "receipts"))) == 140
+    # A batch that is replaced gives its keys free.
+    publish(spark, root, "b0", plain_receipts(spark, "other"))
+    assert ids(published_keys(spark, root, "receipts", asked)) == []
+    assert len(ids(read_published(spark, root, "receipts"))) == 121
+
+
+def test_materialise_reads_its_own_table(spark, tmp_path):
+    name, path = f"m{uuid.uuid4().hex}", str(tmp_path)
+    for i in range(4):
+        old = spark.table(name) if i else spark.createDataFrame([], "n int")
+        assert ids(catalog.materialise(old.union(spark.createDataFrame([(i,)], "n int")), name, path), "n") == list(range(i + 1))
+    assert len(list(tmp_path.glob("version=*"))) == 2
+    with pytest.raises(PySparkException):
+        catalog.materialise(spark.sql(f"SELECT CAST(raise_error('lost') AS int) AS n FROM {name}"), name, path)
+    with pytest.raises(ValueError, match="other columns"):
+        catalog.materialise(spark.range(3), name, path)
+    assert ids(spark.table(name), "n") == [0, 1, 2, 3]
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_lookup_skips_row_groups(spark, tmp_path):
+    rows = spark.range(200_000).selectExpr("sha1(cast(id as string)) AS k", "id")
+    stored = catalog.write_for_lookup(rows, str(tmp_path), "k", 25_000)
+    wanted = rows.filter("id = 777").agg(F.min("k")).scalar()
+    found = stored.filter(F.col("k") == wanted)
+    assert [r.id for r in found.collect()] == [777]
+    assert min(s["rows"] for s in scans(found) if "id" in s["plan"]) < 30_000
+
+
+def test_linked_tables_meet_without_a_shuffle(spark, tmp_path):
+    n = spark.range(30_000)
+    items = n.select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 > 0, F.concat(F.lit("r"), F.col("id") % 4000)).alias("k"), "id")
+    receipts = spark.range(5000).select(F.when(F.col("id") == 0, "hot").otherwise(F.concat(F.lit("r"), "id")).alias("k"))
+    a, b = (f"t{uuid.uuid4().hex}" for _ in range(2))
+    catalog.write_linked({a: receipts, b: items}, "k", 4, 1000, str(tmp_path))
+    # A hot key and missing ones lie in plain files, which any number of tasks can read.
+    assert {r.k for r in spark.table(f"{b}_hot").distinct().select("k").distinct().collect()} == {"hot", None}
+    counts = catalog.linked_counts(spark, a, b, "k")
+    assert profile_of(counts).first() == linkage_profile(receipts, items, "k").first()
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        counts = catalog.linked_counts(spark, a, b, "k")
+        counts.collect()
+        text = plan(counts)
+        # One exchange: that of the hot keys' counts.
+        assert text.split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" in text
+    for t in (a, b, f"{a}_hot", f"{b}_hot"):
+        spark.sql(f"DROP TABLE {t}")

@@ -80,6 +80,24 @@ def rows_with_duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return rows.orderBy(*(F.col(c).asc_nulls_last() for c in (key, *rest)))
 
 
+def rows_by_key(df: DataFrame, key: str) -> DataFrame:
+    """For each key one of its rows (the least) and, as ``key_rows``, how many it has."""
+    per_key = df.groupBy(F.col(key).alias("_key")).agg(_rows().alias("key_rows"), F.min(F.struct(*df.columns)).alias("_row"))
+    return per_key.select("_row.*", "key_rows")
+
+
+def unambiguous(by_key: DataFrame, key: str) -> DataFrame:
+    """Of ``rows_by_key`` the rows that have their key alone, as ``key NOT IN (repeated keys)``.
+
+    As with NOT IN, nothing is left when NULL is among the repeated keys, and a single NULL
+    key stays only if no key is repeated; these two facts are one row.
+    """
+    repeated = by_key.filter("key_rows > 1")
+    facts = repeated.agg(_rows().alias("n"), F.count_if(F.col(key).isNull()).alias("nulls"))
+    decided = (facts.select("nulls").scalar() == 0) & (F.col(key).isNotNull() | (facts.select("n").scalar() == 0))
+    return by_key.filter((F.col("key_rows") == 1) & decided).drop("key_rows")
+
+
 def drop_ambiguous_keys(df: DataFrame, key: str) -> DataFrame:
     """Drop every row of a key that occurs more than once, as ``key NOT IN`` would.
 

@@ -32,12 +32,11 @@ def _on(side: str) -> Column:
     return F.col("key").isNotNull() & (F.col(side) > 0)
 
 
-def linkage_profile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Figures of ``left LEFT JOIN right``: joined rows, and the rows with a key and the
-    distinct keys of either side among them."""
+def profile_of(counts: DataFrame) -> DataFrame:
+    """``linkage_profile`` of rows per key: ``key, n_left, n_right``."""
     keyed = F.col("key").isNotNull()
     joined = F.col("n_left") * F.when(keyed, F.greatest("n_right", F.lit(1))).otherwise(F.lit(1))
-    return key_counts(left, right, key).agg(
+    return counts.agg(
         _total(joined).alias("joined_rows"),
         _total(F.when(keyed, joined)).alias("left_non_null"),
         F.count_if(_on("n_left")).alias("left_distinct"),
@@ -46,10 +45,16 @@ def linkage_profile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
-def linkage_summary(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Matched and orphaned keys in both directions, and rows without a key."""
+def linkage_profile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Figures of ``left LEFT JOIN right``: joined rows, and the rows with a key and the
+    distinct keys of either side among them."""
+    return profile_of(key_counts(left, right, key))
+
+
+def summary_of(counts: DataFrame) -> DataFrame:
+    """``linkage_summary`` of rows per key: ``key, n_left, n_right``."""
     on_left, on_right, no_key = _on("n_left"), _on("n_right"), F.col("key").isNull()
-    counted = key_counts(left, right, key).agg(
+    counted = counts.agg(
         F.count_if(on_left).alias("left_keys"),
         F.count_if(on_right).alias("right_keys"),
         F.count_if(on_left & on_right).alias("matched_keys"),
@@ -66,3 +71,8 @@ def linkage_summary(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
             "right_orphan_pct": percent(F.col("right_orphans"), F.col("right_keys")),
         }
     )
+
+
+def linkage_summary(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Matched and orphaned keys in both directions, and rows without a key."""
+    return summary_of(key_counts(left, right, key))

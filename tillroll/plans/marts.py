@@ -45,15 +45,16 @@ def _scanned(tables: Tables, back_from: int, back_to: int) -> DataFrame:
     return tables.receipts.filter(in_window("date_scanned", window))
 
 
+def brand_counts(tables: Tables, receipts: DataFrame) -> DataFrame:
+    """Receipts per brand among the given ones."""
+    named = receipt_brands(tables, receipts)
+    return named.groupBy("brand_name").agg(F.count_distinct("receipt_id").alias("distinct_receipts"))
+
+
 def top_brands(tables: Tables, back: int = 1, k: int = 5) -> DataFrame:
     """Top brands by receipts scanned in the month ``back`` months ago."""
     month = _scanned(tables, back, back - 1)
-    counts = (
-        receipt_brands(tables, month)
-        .groupBy("brand_name")
-        .agg(F.count_distinct("receipt_id").alias("distinct_receipts"))
-    )
-    return top_k(counts, k, "distinct_receipts", "brand_name")
+    return top_k(brand_counts(tables, month), k, "distinct_receipts", "brand_name")
 
 
 def brand_rank_change(tables: Tables, k: int = 5) -> DataFrame:

@@ -37,6 +37,17 @@ def star_view(tables: Tables, receipts: DataFrame | None = None) -> DataFrame:
     return star.select(*r.columns, *(c for c in u.columns if c not in r.columns), *(c for c in i.columns if c not in r.columns), *(c for c in b.columns if c != "i_barcode"))
 
 
+def receipt_detail(tables: Tables, receipt_id: Column) -> DataFrame:
+    """The joined view of one receipt, where the tables are files in the order of their keys.
+
+    The receipt's id selects receipts and items, its user's id users, each at the scan.
+    """
+    receipt = tables.receipts.filter(F.col("receipt_id") == receipt_id)
+    user = receipt.agg(F.min("user_id")).scalar()
+    near = Tables(receipt, tables.items.filter(F.col("receipt_id") == receipt_id), tables.users.filter(F.col("user_id") == user), tables.brands)
+    return star_view(near)
+
+
 def _issue(issue: str, table: str, affected: Column, of: Column, resolution: str) -> Column:
     return F.struct(
         F.lit(issue).alias("issue"),

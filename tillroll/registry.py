@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +14,14 @@ from tillroll import fixtures
 from tillroll.functions.calendar import month_window
 from tillroll.functions.numbers import nan_to_null
 from tillroll.operators import checks, flatten, joins, keys, linkage
-from tillroll.plans import marts, quality
+from tillroll.plans import daily, marts, quality, refresh, states
 from tillroll.plans.tables import Tables
 from tillroll.session import configure, scratch_path
 from tillroll.sinks import catalog
 from tillroll.sinks import publish as publishing
 from tillroll.sources.catalog import preview
 from tillroll.sources.jsonl import parse_lines, read_jsonl, require_documents
+from tillroll.streaming.daily import read_daily_counts, start_daily_counts
 from tillroll.streaming.feed import start_receipt_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +67,11 @@ def _without_zone(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned})
 
 
+def _with_zone(df: DataFrame) -> DataFrame:
+    """Timestamps as the typed tables have them."""
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, k in df.dtypes if k == "timestamp_ntz"})
+
+
 def _round_trip(table: str, to_documents) -> Callable[[Tables], DataFrame]:
     """A table written as JSON documents, parsed and flattened again."""
 
@@ -188,7 +195,7 @@ def _republished(good: bool) -> Query:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables = fixtures.tables(configure(spark), sf_dir)
         root = scratch_path(spark, "republished")
-        receipts = tables.receipts.withColumns({c: F.col(c).cast("timestamp") for c, k in tables.receipts.dtypes if k == "timestamp_ntz"})
+        receipts = _with_zone(tables.receipts)
         publishing.publish(spark, root, "batch", {"receipts": publishing.tag_plain(receipts)})
         finished = receipts.filter("rewards_receipt_status = 'FINISHED'")
         again = finished if good else finished.unionByName(finished)
@@ -255,9 +262,166 @@ def _by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.agg(F.count(F.lit(1)).alias("day_rows"))
 
 
+def _key_index_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts in two batches, and a third refused because the last month's ids are published."""
+    receipts = _with_zone(fixtures.tables(configure(spark), sf_dir).receipts)
+    root = scratch_path(spark, "indexed")
+    open_ = F.col("rewards_receipt_status") == "SUBMITTED"
+    recent = receipts.filter(F.col("date_scanned") >= month_window(receipts, "date_scanned", 0).select("hi").scalar())
+    refused = 0
+    for name, rows in (("closed", receipts.filter(~open_)), ("open", receipts.filter(open_)), ("again", recent)):
+        try:
+            publishing.publish(spark, root, name, {"receipts": publishing.tag_plain(rows)})
+        except publishing.ConstraintViolation:
+            refused += 1
+    by_status = publishing.read_published(spark, root, "receipts").groupBy("rewards_receipt_status")
+    return by_status.agg(F.count(F.lit(1)).alias("receipts"), F.lit(refused).alias("refused_batches"))
+
+
+def _typed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four typed tables, appended to and read back; a batch with a text too long is refused."""
+    tables = fixtures.tables(configure(spark), sf_dir)
+    path = scratch_path(spark, "typed")
+    database = path.rsplit("/", 1)[1].replace("-", "_")
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    counts = []
+    for name in ("receipts", "items", "users", "brands"):
+        catalog.create_tables(spark, database)
+        rows = _with_zone(getattr(tables, name))
+        catalog.append(rows, name, database)
+        key = "receipt_id" if name in ("receipts", "items") else rows.columns[0]
+        refused = 0
+        try:
+            catalog.append(rows.withColumn(key, F.concat(key, F.lit("x" * 24))), name, database)
+        except PySparkException:
+            refused = 1
+        stored = spark.table(f"{database}.{name}")
+        counts.append(stored.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("stored_rows"), F.count_distinct(key).alias("distinct_keys"), F.lit(refused).alias("refused")))
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _materialised_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deduplicated users stored as a table, replaced by a query over itself, and kept when one fails."""
+    users = fixtures.tables(configure(spark), sf_dir).users
+    path = scratch_path(spark, "materialised")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    staff = F.col("sign_up_source") == "SUPPLIER"
+    catalog.materialise(users.filter(~staff).distinct(), name, path)
+    catalog.materialise(spark.table(name).unionByName(users.filter(staff)).distinct(), name, path)
+    failing = spark.table(name).withColumn("role", F.raise_error(F.lit("a source is lost")).cast("string"))
+    try:
+        catalog.materialise(failing, name, path)
+    except PySparkException:
+        return spark.table(name)
+    raise AssertionError("the failing refresh went through")
+
+
+# -- refreshes -------------------------------------------------------------------------
+
+
+def _two_batches(table: refresh.Cleaned, second: str, again: str = "false") -> tuple[Query, Query]:
+    """A cleaned table after two batches, and what the second one changed."""
+
+    def build(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+        rows = getattr(fixtures.tables(configure(spark), sf_dir), table.source)
+        root = scratch_path(spark, f"refreshed-{table.source}")
+        refresh.apply_batch(spark, root, table, "one", rows.filter(f"NOT ({second})"))
+        return root, refresh.apply_batch(spark, root, table, "two", rows.filter(f"({second}) OR ({again})"))
+
+    return (
+        lambda spark, sf_dir: refresh.read_clean(spark, build(spark, sf_dir)[0], table),
+        lambda spark, sf_dir: build(spark, sf_dir)[1],
+    )
+
+
+_BRANDS_REFRESHED, _BRAND_CHANGES = _two_batches(refresh.BRANDS_CLEANED, "brand_id LIKE 'D%'")
+_USERS_REFRESHED, _ = _two_batches(refresh.USERS_DEDUP, "sign_up_source = 'SUPPLIER'", "sign_up_source = 'MACHINERY'")
+
+# Open receipts of even months come late.
+_LATE = "rewards_receipt_status = 'SUBMITTED' AND month(date_scanned) % 2 = 0"
+
+
+def _day_store(spark: SparkSession, sf_dir: str) -> tuple[Tables, daily.DayStore]:
+    """Receipts and items by month: all but the late ones, counted, then the late ones."""
+    t = fixtures.tables(configure(spark), sf_dir)
+    store = daily.DayStore(scratch_path(spark, "days"), "month")
+    late = t.receipts.filter(_LATE)
+    first = t.receipts.filter(f"({_LATE}) IS NOT TRUE")
+    daily.add_batch(spark, store, "first", first, joins.with_match(t.items, first, "receipt_id"))
+    daily.refresh(spark, store, t.brands)
+    daily.add_batch(spark, store, "late", late, joins.with_match(t.items, late, "receipt_id"))
+    return t, store
+
+
+def _daily_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, store = _day_store(spark, sf_dir)
+    daily.refresh(spark, store, t.brands)
+    return daily.read_daily(spark, store)
+
+
+def _top_from(answer, back: int) -> Query:
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, store = _day_store(spark, sf_dir)
+        return answer(spark, store, t.brands, back)
+
+    return build
+
+
+def _states(spark: SparkSession, sf_dir: str) -> str:
+    """States of receipts and items that came in two batches, the second one twice."""
+    t = fixtures.tables(configure(spark), sf_dir)
+    root = scratch_path(spark, "states")
+    open_ = t.receipts.filter("rewards_receipt_status = 'SUBMITTED'")
+    closed = t.receipts.filter("rewards_receipt_status <> 'SUBMITTED'")
+    for batch, receipts in (("closed", closed), ("open", open_), ("open", open_)):
+        items = joins.with_match(t.items, receipts, "receipt_id")
+        states.add_states(spark, root, batch, {"receipts": (receipts, "receipt_id"), "items": (items, "receipt_id"), "barcodes": (items, "barcode")})
+    return root
+
+
+def _linkage_from_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _states(spark, sf_dir)
+    return states.linkage_profile(states.merged(spark, root, "receipts"), states.merged(spark, root, "items"))
+
+
+def _profiles_from_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _states(spark, sf_dir)
+    columns = (("receipts", "receipts.receipt_id"), ("items", "items.receipt_id"), ("barcodes", "items.barcode"))
+    return reduce(DataFrame.unionByName, [states.column_profile(states.merged(spark, root, n), c) for n, c in columns])
+
+
+def _bucketed_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts and items in buckets of the receipt; receipts of more than six items count as hot."""
+    t = fixtures.tables(configure(spark), sf_dir)
+    path = scratch_path(spark, "linked")
+    names = {n: f"{path.rsplit('/', 1)[1].replace('-', '_')}_{n}" for n in ("receipts", "items")}
+    catalog.write_linked({names[n]: getattr(t, n) for n in names}, "receipt_id", 8, 7, path)
+    return linkage.profile_of(catalog.linked_counts(spark, names["receipts"], names["items"], "receipt_id"))
+
+
+def _streamed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts per day from a stream in which the open ones come behind all others."""
+    receipts = fixtures.tables(configure(spark), sf_dir).receipts
+    source, root, log = (scratch_path(spark, n) for n in ("daily-in", "daily-out", "daily-log"))
+    for rows in (receipts.filter("rewards_receipt_status <> 'SUBMITTED'"), receipts.filter("rewards_receipt_status = 'SUBMITTED'")):
+        fixtures.receipt_documents(rows).repartition(4).write.mode("append").text(source)
+    start_daily_counts(spark, source, root, log, files=4).awaitTermination()
+    return read_daily_counts(spark, root)
+
+
 # -- lookups ---------------------------------------------------------------------------
 
 
+def _stored_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest receipt's joined view, from files in the order of their keys."""
+    t = fixtures.tables(configure(spark), sf_dir)
+    path = scratch_path(spark, "lookup")
+    keyed = (("receipts", "receipt_id"), ("items", "receipt_id"), ("users", "user_id"), ("brands", "barcode"))
+    near = Tables(**{name: catalog.write_for_lookup(getattr(t, name), f"{path}/{name}", key) for name, key in keyed})
+    newest = near.receipts.agg(F.max_by("receipt_id", F.struct("date_scanned", "receipt_id")))
+    return quality.receipt_detail(near, newest.scalar())
+
+
 def _latest_receipt(t: Tables) -> DataFrame:
     newest = t.receipts.agg(
         F.max_by("receipt_id", F.struct("date_scanned", "receipt_id")).alias("id")
@@ -381,6 +545,22 @@ QUERIES: dict[str, Query] = {
     "receipts_by_day": _by_day,
     "republish_refused": _republished(good=False),
     "republish_replaced": _republished(good=True),
+    "key_index_refused": _key_index_refused,
+    "typed_append": _typed_append,
+    "materialised_users_dedup": _materialised_users,
+    # refreshes and stored figures
+    "brands_cleaned_incremental": _BRANDS_REFRESHED,
+    "brand_changes": _BRAND_CHANGES,
+    "users_dedup_incremental": _USERS_REFRESHED,
+    "daily_brand_receipts_refreshed": _daily_refreshed,
+    "top_brands_from_daily": _top_from(daily.top_brands, 1),
+    "top_brands_previous_from_daily": _top_from(daily.top_brands, 2),
+    "top_brands_partitioned": _top_from(daily.top_brands_of_days, 1),
+    "linkage_from_states": _linkage_from_states,
+    "profiles_from_states": _profiles_from_states,
+    "bucketed_linkage": _bucketed_linkage,
+    "stored_receipt_detail": _stored_detail,
+    "streamed_daily_receipts": _streamed_daily,
 }
 
 
@@ -564,6 +744,24 @@ def _stored_sql(table: str, per_row: int = 1) -> str:
                       0::bigint AS rejected_rows FROM {table}"""
 
 
+_NEWEST_RECEIPT = "(SELECT * FROM receipts ORDER BY date_scanned DESC, receipt_id DESC LIMIT 1)"
+
+_DAILY_BRANDS_SQL = """
+    SELECT CAST(date_scanned AS date) AS day, name AS brand_name,
+           count(DISTINCT receipt_id) AS distinct_receipts
+    FROM receipts LEFT JOIN items USING (receipt_id) LEFT JOIN brands_cleaned USING (barcode)
+    GROUP BY day, name"""
+
+
+def _column_profile_sql(table: str, column: str) -> str:
+    return f"""
+        SELECT '{table}.{column}' AS column_name, sum(n)::BIGINT AS total_rows, count({column}) AS distinct_keys,
+               count(*) FILTER ({column} IS NOT NULL AND n > 1) AS duplicate_keys,
+               coalesce(sum(n) FILTER ({column} IS NULL), 0)::BIGINT AS null_rows,
+               round(coalesce(sum(n) FILTER ({column} IS NULL), 0) * 100.0::double / sum(n), 1) AS null_pct
+        FROM (SELECT {column}, count(*) AS n FROM {table} GROUP BY {column})"""
+
+
 _ITEM_COLUMNS = """receipt_id, barcode, description, final_price, item_price, needs_fetch_review,
     partner_item_id, prevent_target_gap_points, quantity_purchased, user_flagged_barcode,
     user_flagged_new_item, user_flagged_price, user_flagged_quantity"""
@@ -631,10 +829,7 @@ _VIEW_SQL: dict[str, str] = {
         SELECT barcode, count(*) AS key_rows FROM items
         GROUP BY barcode HAVING count(*) > 1 OR barcode IS NULL""",
     "issue_report": _ISSUES_SQL,
-    "star_one_receipt": _star_sql(
-        "(SELECT * FROM receipts ORDER BY date_scanned DESC, receipt_id DESC LIMIT 1)",
-        _prefixed_columns(),
-    ),
+    "star_one_receipt": _star_sql(_NEWEST_RECEIPT, _prefixed_columns()),
     "star_view": _star_sql(
         "receipts",
         """r.receipt_id AS r_receipt_id, r.user_id AS r_user_id, u.user_id AS u_user_id,
@@ -689,11 +884,7 @@ _VIEW_SQL: dict[str, str] = {
         {_NEW_USERS_SQL}
         SELECT brand_name, total_spent FROM by_brand WHERE brand_name IS NOT NULL
         QUALIFY rank() OVER (ORDER BY total_spent DESC NULLS LAST) = 1""",
-    "daily_brand_receipts": """
-        SELECT CAST(date_scanned AS date) AS day, name AS brand_name,
-               count(DISTINCT receipt_id) AS distinct_receipts
-        FROM receipts LEFT JOIN items USING (receipt_id) LEFT JOIN brands_cleaned USING (barcode)
-        GROUP BY day, name""",
+    "daily_brand_receipts": _DAILY_BRANDS_SQL,
     "json_receipts_roundtrip": "SELECT * FROM receipts",
     "json_items_explode": f"""
         SELECT {_ITEM_COLUMNS} FROM items
@@ -742,6 +933,33 @@ _VIEW_SQL: dict[str, str] = {
     "republish_replaced": """
         SELECT rewards_receipt_status, count(*) AS receipts, count(DISTINCT receipt_id) AS receipt_ids
         FROM receipts WHERE rewards_receipt_status = 'FINISHED' GROUP BY rewards_receipt_status""",
+    "key_index_refused": """
+        SELECT rewards_receipt_status, count(*) AS receipts, 1 AS refused_batches FROM receipts GROUP BY rewards_receipt_status""",
+    "typed_append": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS stored_rows, count(DISTINCT {key}) AS distinct_keys, 1 AS refused FROM {t}"
+        for t, key in (("receipts", "receipt_id"), ("items", "receipt_id"), ("users", "user_id"), ("brands", "brand_id"))
+    ),
+    "materialised_users_dedup": "SELECT * FROM users_dedup",
+    "brands_cleaned_incremental": "SELECT * FROM brands_cleaned",
+    "brand_changes": """
+        SELECT *, 'removed' AS change FROM brands
+        WHERE brand_id LIKE 'P%' AND barcode IN (SELECT barcode FROM brands WHERE brand_id LIKE 'D%')""",
+    "users_dedup_incremental": "SELECT * FROM users_dedup",
+    "daily_brand_receipts_refreshed": _DAILY_BRANDS_SQL,
+    "top_brands_from_daily": _top_brands_sql(1),
+    "top_brands_previous_from_daily": _top_brands_sql(2),
+    "top_brands_partitioned": _top_brands_sql(1),
+    "linkage_from_states": _linkage_sql("receipts_items"),
+    "profiles_from_states": " UNION ALL ".join(
+        _column_profile_sql(*c) for c in (("receipts", "receipt_id"), ("items", "receipt_id"), ("items", "barcode"))
+    ),
+    "bucketed_linkage": _linkage_sql("receipts_items"),
+    "stored_receipt_detail": _star_sql(_NEWEST_RECEIPT, _prefixed_columns()),
+    "streamed_daily_receipts": """
+        , behind AS (SELECT max(create_date) - INTERVAL 30 DAY AS watermark FROM receipts WHERE rewards_receipt_status <> 'SUBMITTED')
+        SELECT CAST(create_date AS date) AS day, count(*) AS day_rows,
+               count(*) FILTER (rewards_receipt_status = 'SUBMITTED' AND create_date < watermark) AS late_rows
+        FROM receipts, behind GROUP BY day""",
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Folders of many days are listed by so many tasks, not by a task for each of them.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
 }
 
 #: For a session of one's own: HotSpot does not compile methods above 8000 bytes of bytecode.

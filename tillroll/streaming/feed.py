@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillroll.operators.flatten import REASON, flatten_receipts
-from tillroll.sinks.publish import publish, read_published, unpublished
+from tillroll.operators.joins import without_match
+from tillroll.sinks.files import remove
+from tillroll.sinks.publish import publish, published_keys
 from tillroll.sources.jsonl import parse_lines
 
 
 def publish_receipts(lines: DataFrame, root: str, batch: str) -> None:
     """Publish the receipts of some JSON lines that are not stored yet, and all rejects.
 
-    Of repeats within the lines one is kept; receipts that other batches hold are left out.
-    A batch that is published again replaces its first attempt.
+    Lines are parsed once, into a folder of the attempt. Of receipts that share an id the least
+    one in the order of its columns is kept, so a replay publishes the same rows; receipts that
+    other batches hold are left out. A batch that is published again replaces its first attempt.
     """
     spark = lines.sparkSession
     rows = flatten_receipts(parse_lines(lines))
-    new = rows.filter(F.col(REASON).isNull()).dropDuplicates(["receipt_id"])
+    staged = f"{root}/staged/{uuid.uuid4().hex}"
     try:
-        stored = read_published(spark, root, "receipts", but=batch)
-        new = unpublished(new, stored, "receipt_id").select(*rows.columns)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":  # nothing is published below this root yet
-            raise
-    publish(spark, root, batch, {"receipts": new.unionByName(rows.filter(F.col(REASON).isNotNull()))})
+        rows.write.parquet(staged)
+        rows = spark.read.schema(rows.schema).parquet(staged)
+        fine = rows.filter(F.col(REASON).isNull())
+        new = fine.groupBy(F.col("receipt_id").alias("_id")).agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*")
+        new = without_match(new, published_keys(spark, root, "receipts", new, but=batch), "receipt_id").select(*rows.columns)
+        publish(spark, root, batch, {"receipts": new.unionByName(rows.filter(F.col(REASON).isNotNull()))})
+    finally:
+        remove(spark, staged)
 
 
 def start_receipt_feed(spark: SparkSession, source: str, root: str, checkpoint: str, name: str = "feed") -> StreamingQuery:
