@@ -15,7 +15,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tests.llm.conftest import ROWS
 from tests.oracle import compare
-from tillroll.llm import chat, jaccard, licenses, neighbours, packing, quality, viterbi
+from tillroll.llm import chat, jaccard, license_texts, licenses, neighbours, packing, quality, viterbi
 from tillroll.llm.graphs import components
 from tillroll.llm.queries import TOKENIZER
 
@@ -130,6 +130,20 @@ def test_diagonals_merge(spark):
     rows = [(1, " ".join(["x"] * 20 + broken)), (2, " ".join(text[:6]))]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].labels == "bsd" and got[1].n_base == 0 and 0.6 < got[1].score < 1
+
+
+def test_whole_license_texts(spark):
+    body = next(t for t, label in license_texts.BODIES.items() if label == "isc")
+    words = body.split()
+    rows = [(1, f"x y z\n{body}\nand more"), (2, " ".join(words[:40] + ["odd"] * 3 + words[43:])), (3, " ".join(words[: len(words) // 3])), (4, " ".join(words[:3]) * 20_000)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].labels, got[1].score) == ("isc", 1.0) and got[2].labels == "isc" and 0.6 < got[2].score < 1
+    assert got[3].labels == got[4].labels == ""
+
+
+def test_short_template_text(spark):
+    rows = [(2, " ".join(next(t for t, label in licenses.TEMPLATES.items() if label == "bsd").split()[:6]))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[2].labels == "" and got[2].score == 0
 
 
@@ -252,19 +266,26 @@ def test_neighbours(spark):
     assert len(neighbours.search(few).collect()) == 2
 
 
-def test_recall(spark, sf_dir):
+@pytest.mark.parametrize("uneven", [False, True])
+def test_recall(spark, sf_dir, uneven):
+    """Unit vectors as in the test table (noisy copies of them), and vectors of very different lengths."""
     vectors = spark.read.parquet(f"{sf_dir}/../sf0.1/embeddings.parquet")
-    rows = sorted((r.vec_id, r.embedding) for r in vectors.select("vec_id", "embedding").collect())
-    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
-    found = defaultdict(set)
-    for r in neighbours.search(vectors).collect():
+    known = np.array([r.embedding for r in vectors.orderBy("vec_id").collect()])
+    rng = np.random.default_rng(2)
+    v = np.repeat(known, 10, axis=0) + rng.normal(0, 0.08, (10 * len(known), known.shape[1]))
+    v /= np.sqrt((v**2).sum(1))[:, None]
+    if uneven:
+        v *= np.exp(rng.normal(0, 0.5, len(v)))[:, None]
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found, figures = defaultdict(set), {}
+    for r in neighbours.search(frame, query_every=200, figures=figures).collect():
         found[r.query_id].add(r.vec_id)
     hits = []
-    for at in np.flatnonzero(ids % 20 == 0):
+    for at in range(0, len(v), 200):
         s = v @ v[at]
         s[at] = -np.inf
-        hits.append(len(found[ids[at]] & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
-    assert np.mean(hits) >= 0.9
+        hits.append(len(found[at] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.9 and min(hits) >= 0.5 and figures["share"] < 0.34, (np.mean(hits), min(hits), figures)
 
 
 def test_words_are_those_of_the_contract():
