@@ -27,21 +27,30 @@ from tillroll.llm.storage import written
 SAMPLES = 48
 #: Bits of a uniform number, of a sample's name; steps of a bid per unit.
 UNIFORM, NAME, STEPS = 30, 31, 1 << 23
+#: Bits of a term's hash and of its number of occurrences, which stops at the highest one.
+TERM, WEIGHT = 40, 24
+
+
+def words(text: Column) -> Column:
+    """The words of a text, and empty texts between blanks that follow each other."""
+    for blank in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.split(text, " ")
 
 
 def terms(text: Column) -> Column:
-    """Array of (term, w): hashes of the distinct words, and how often they occur."""
-    hashes = F.array_sort(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
+    """Sorted numbers of the distinct words: TERM bits of hash, then WEIGHT bits of how often they occur."""
+    name = lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - TERM)
+    hashes = F.array_remove(F.sort_array(F.transform(words(text), name)), name(F.lit("")))
 
     def runs(h: Column) -> Column:
         at = F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == 1) | (F.get(h, i - 1) != F.get(h, i - 2)))
-        return F.transform(
-            F.arrays_zip(at.alias("a"), F.slice(F.concat(at, F.array(F.size(h) + 1)), 2, F.size(at)).alias("b")),
-            lambda z: F.struct(F.get(h, z["a"] - 1).alias("term"), (z["b"] - z["a"]).alias("w")),
-        )
+        ends = F.slice(F.concat(at, F.array(F.size(h) + 1)), 2, F.size(at))
+        most = F.lit((1 << WEIGHT) - 1)
+        return F.zip_with(at, ends, lambda a, b: F.shiftleft(F.get(h, a - 1), WEIGHT) + F.least((b - a).cast("long"), most))
 
     # A one-element array holds the hashes, so that they are computed once.
-    return F.element_at(F.transform(F.array(hashes), lambda h: F.when(F.size(h) > 0, runs(h)).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("term"), F.lit(1).alias("w"))))), 1)
+    return F.element_at(F.transform(F.array(hashes), lambda h: F.when(F.size(h) > 0, runs(h)).otherwise(F.array(F.lit(1).cast("long")))), 1)
 
 
 def bid(sample: int) -> Column:
@@ -60,11 +69,21 @@ def bid(sample: int) -> Column:
     return F.shiftleft(((value + 128) * STEPS).cast("long"), NAME) + name
 
 
-def signatures(rows: DataFrame, by: list[str], terms_column: str = "terms") -> DataFrame:
-    """rows (by, terms) as by, sig: the names of the samples."""
-    each = rows.select(*by, F.inline(terms_column)).withColumn("ln_w", F.ln(F.col("w").cast("double")))
-    least = each.groupBy(*by).agg(*[F.min(bid(i)).alias(f"s{i}") for i in range(SAMPLES)])
-    return least.select(*by, F.array(*[F.col(f"s{i}").bitwiseAND(F.lit((1 << NAME) - 1)).cast("int") for i in range(SAMPLES)]).alias("sig"))
+def signatures(rows: DataFrame, by: str, left: str, right: str) -> DataFrame:
+    """rows (by, left, right: terms of two texts) as by, sig, other_sig: the names of the samples.
+
+    A term that both texts have equally often draws once for both.
+    """
+    parts = [F.array_except(left, right), F.array_except(right, left), F.array_intersect(left, right)]
+    each = rows.select(by, F.explode(F.array(*[F.struct(F.lit(i).alias("side"), p.alias("terms")) for i, p in enumerate(parts)])).alias("part"))
+    each = each.select(by, "part.side", F.explode("part.terms").alias("number")).select(
+        by, "side", F.shiftrightunsigned("number", WEIGHT).alias("term"), F.ln(F.col("number").bitwiseAND(F.lit((1 << WEIGHT) - 1)).cast("double")).alias("ln_w")
+    )
+    least = each.groupBy(by, "side").agg(*[F.min(bid(i)).alias(f"s{i}") for i in range(SAMPLES)])
+    of = lambda side, i: F.min(F.when(F.col("side") != 1 - side, F.col(f"s{i}")))
+    both = least.groupBy(by).agg(*[of(side, i).alias(f"s{side}_{i}") for side in (0, 1) for i in range(SAMPLES)])
+    sig = lambda side: F.array(*[F.col(f"s{side}_{i}").bitwiseAND(F.lit((1 << NAME) - 1)).cast("int") for i in range(SAMPLES)])
+    return both.select(by, sig(0).alias("sig"), sig(1).alias("other_sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -109,12 +128,9 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     )
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), "head")
     pairs = texts.join(heads, "key").join(order, "key").select("key", "text", edited.alias("edited"))
-    both = F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.lit("").alias("sha"), terms(F.col("text")).alias("terms")), F.struct(F.lit(True).alias("is_edited"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), terms(F.col("edited")).alias("terms"))))
-    signed = signatures(pairs.select("key", both.alias("one")).select("key", "one.is_edited", "one.sha", "one.terms"), ["key", "is_edited", "sha"])
-    one = signed.groupBy("key").agg(
-        F.max("sha").alias("edited_sha256"), F.max(F.when(~F.col("is_edited"), F.col("sig"))).alias("sig"), F.max(F.when(F.col("is_edited"), F.col("sig"))).alias("edited_sig")
-    )
-    held = written(one, "cws-signatures")
+    drawn = pairs.select("key", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), terms(F.col("text")).alias("terms"), terms(F.col("edited")).alias("edited_terms"))
+    signed = signatures(drawn.select(F.struct("key", "sha").alias("who"), "terms", "edited_terms"), "who", "terms", "edited_terms")
+    held = written(signed.select("who.key", F.col("who.sha").alias("edited_sha256"), "sig", F.col("other_sig").alias("edited_sig")), "cws-signatures")
     following = order.select("key", "next_key").join(held.select(F.col("key").alias("next_key"), F.col("sig").alias("next_sig")), "next_key").select("key", "next_sig")
     return (
         held.join(order, "key").join(following, "key")
