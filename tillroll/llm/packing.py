@@ -34,11 +34,11 @@ from tillroll.llm.tokens import ByteLevelIds
 
 SEQUENCE, END = 2048, 0
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, tokenizer: tuple[str, str, str], sequence: int = SEQUENCE) -> DataFrame:
-    """docs (doc_id, text) as pieces: doc_id, piece, start, length, ids_crc32.
+    """docs (doc_id, text) as pieces: row (a number of the document), doc_id, piece, start, length, ids_crc32.
 
     tokenizer: the tokenizer's file, the rank file of its vocabulary, and the splitting pattern.
     """
@@ -48,14 +48,15 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str, str], sequence: int = SEQ
         assert sys.byteorder == "little"
         for frame in frames:
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for row, doc, text in zip(frame["row"], frame["doc_id"], frame["text"], strict=True):
                 data = encoder.of(text) + end
                 n = len(data) // 4
                 edges = [0, *range(n % sequence or sequence, n + 1, sequence)]
-                rows += [(doc, k, a, b - a, zlib.crc32(data[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                rows += [(row, doc, k, a, b - a, zlib.crc32(data[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+            yield pd.DataFrame(rows, columns=["row", "doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(cut, PIECES)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return numbered.mapInPandas(cut, PIECES)
 
 
 Bin = tuple[tuple[int, int], ...]  # (length, how often), longest first
@@ -130,13 +131,12 @@ def _exchange(a: Bin, b: Bin, size: int) -> tuple[tuple[int, ...], tuple[int, ..
     return what if what and fill_b + best > fill_a else None
 
 
-def local_search(bins: Counter[Bin], size: int = SEQUENCE, rounds: int = 2_000) -> Counter[Bin]:
+def local_search(bins: Counter[Bin], size: int = SEQUENCE) -> Counter[Bin]:
     """Empties underfull bins by exchanges that increase the sum of squared fills.
 
     The emptiest class gives to the fullest underfull one that can take something, whole
     classes at a time; a class that nothing can be taken from is left. Every step increases
-    the squares, so the search ends; it stops early when no packing can have fewer bins, or
-    after `rounds` steps.
+    the squares, so the search ends; it stops early when no packing can have fewer bins.
     """
     fill = lambda b: sum(k * v for k, v in b)
     bins = Counter({b: n for b, n in bins.items() if n})
@@ -146,7 +146,7 @@ def local_search(bins: Counter[Bin], size: int = SEQUENCE, rounds: int = 2_000)
         by_fill[fill(b)][b] = None
     todo = [(filled, b) for filled, some in by_fill.items() for b in some if filled < size]
     heapq.heapify(todo)
-    while todo and rounds and number > least:
+    while todo and number > least:
         filled, a = heapq.heappop(todo)
         if a not in bins:
             continue
@@ -168,7 +168,6 @@ def local_search(bins: Counter[Bin], size: int = SEQUENCE, rounds: int = 2_000)
                     heapq.heappush(todo, (fill(new), new))
             if a in bins:
                 heapq.heappush(todo, (filled, a))
-            rounds -= 1
             break
     return bins
 
@@ -191,7 +190,8 @@ def _places(bins: Counter[Bin]) -> dict[int, np.ndarray]:
 def pack(docs: DataFrame, tokenizer: tuple[str, str, str], sequence: int = SEQUENCE) -> DataFrame:
     """Pieces of docs (doc_id, text) with sequence_id and offset."""
     cut = pieces(docs, tokenizer, sequence)
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "piece", "ids_crc32").cast("binary"))
+    # By the document's number, so that repeated rows are dealt out too; written, it stays the same.
+    key = F.md5(F.concat_ws(":", "row", "piece").cast("binary"))
     cut = written(cut.withColumn("key", key).withColumn("range", hash_bucket(F.col("key"))), "pieces")
     ranges = written(cut.groupBy("length", "range").count(), "piece-ranges")
     counts = {r["length"]: r["n"] for r in ranges.groupBy("length").agg(F.sum("count").alias("n")).collect()}
@@ -214,4 +214,5 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str], sequence: int = SEQUE
             yield frame[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]].astype({"doc_id": "Int64"})
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
-    return ranked.select(columns).mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    placed = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return ranked.select(columns).mapInPandas(place, placed)

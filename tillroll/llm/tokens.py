@@ -10,6 +10,10 @@ from array import array
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u024f]*")
 
 
+#: The rank file's library recurses along a run of blanks, so texts with runs of this length go to the other one.
+_BLANKS = re.compile("[\\t\\n\\r ]{10000}")
+
+
 class ByteLevelIds:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
@@ -28,6 +32,6 @@ class ByteLevelIds:
         self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
 
     def of(self, text: str) -> bytes:
-        if _PLAIN.fullmatch(text):
+        if _PLAIN.fullmatch(text) and not _BLANKS.search(text):
             return array("I", self.ranked.encode_ordinary(text)).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
