@@ -8,12 +8,12 @@ that holds the middle. A round moves one row for each cell, never the documents,
 values of a dimension, even of all documents, are still split by their hash.
 
 Defined results: a null text has no bytes and the size 1; null metadata sorts first; repeated
-rows stay together; an empty table gives an empty result; extra columns are ignored.
+rows are split like any others, by a number that is fixed when the sizes are written; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.storage import written
@@ -31,10 +31,18 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", size.alias("size"), crc.alias("text_crc32"),
         (F.log2(size.cast("double")) / 32).alias("d_size"), place("lang").alias("d_lang"), place("source").alias("d_source"),
-        F.xxhash64("doc_id", size, crc).alias("hash"),
+        F.xxhash64("doc_id", size, crc, F.monotonically_increasing_id()).alias("hash"),
     )
 
 
+def _few(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """Some rows known to the driver (of nodes), as a literal: no file, no Python worker."""
+    columns = [c.split() for c in schema.split(", ")]
+    kinds = ", ".join(f"{name}: {kind}" for name, kind in columns)
+    values = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, columns, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*values).cast(f"array<struct<{kinds}>>")))
+
+
 def _medians(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each node the number below which documents go left: (node, cut)."""
     found = nodes.select("node", "goal", F.lit(0).cast("long").alias("cut"))
@@ -50,11 +58,14 @@ def _medians(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         upto = F.sum("cell_size").over(Window.partitionBy("node").orderBy("cell"))
         # The first cell in which the sum reaches the goal holds the cut.
         at = cells.withColumn("upto", upto).where("upto >= goal").groupBy("node").agg(
-            F.min_by(F.struct(F.col("goal") - (F.col("upto") - F.col("cell_size")), F.col("cut") + F.col("cell") * step), "cell").alias("at")
+            F.min_by(F.struct(F.col("goal") - (F.col("upto") - F.col("cell_size")), F.col("cut") + F.col("cell") * step, F.col("cell_size")), "cell").alias("at")
         )
         # One row for each node: the tree, not the documents.
-        kept = at.select("node", F.col("at.col1").alias("goal"), F.col("at.col2").alias("cut")).collect()
-        found = rows.sparkSession.createDataFrame(kept, "node long, goal double, cut long")
+        cut = F.col("at.col2")
+        if step == 1:  # the last cell goes to the side that gets nearer to its goal with it
+            cut = cut + (F.col("at.col1") * 2 > F.col("at.cell_size")).cast("long")
+        kept = at.select("node", F.col("at.col1").alias("goal"), cut.alias("cut")).collect()
+        found = _few(rows.sparkSession, kept, "node long, goal double, cut long")
         width = step
     return found.select("node", F.col("cut"))
 
@@ -73,7 +84,7 @@ def shard(docs: DataFrame, leaves: int | None = None, target_bytes: int | None =
     schema = "node long, shards int"
     split, done, level = [(0, leaves)], [], 0
     while any(n > 1 for _, n in split):
-        parts = rows.sparkSession.createDataFrame(split, schema)
+        parts = _few(rows.sparkSession, split, schema)
         spread = rows.groupBy("node").agg(
             F.sum("size").alias("node_size"),
             *[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))],
@@ -95,7 +106,7 @@ def shard(docs: DataFrame, leaves: int | None = None, target_bytes: int | None =
         rows = placed.join(F.broadcast(cuts), "node", "left").select(*[c for c in rows.columns if c != "node"], side.alias("node"))
         split = [x for node, n in split for x in ([(2 * node, n // 2), (2 * node + 1, n - n // 2)] if n > 1 else [(2 * node, 1)])]
         level += 1
-    numbers = rows.sparkSession.createDataFrame([(node, i) for i, (node, _) in enumerate(sorted(split))], "node long, shard int")
+    numbers = _few(rows.sparkSession, [(node, i) for i, (node, _) in enumerate(sorted(split))], "node long, shard int")
     rows = rows.join(F.broadcast(numbers), "node").withColumn("range", F.pmod(F.shiftrightunsigned("hash", 20), F.lit(4096)))
     ahead = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = rows.groupBy("shard", "range").agg(F.count("*").alias("n")).select("shard", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
