@@ -46,6 +46,9 @@ BASE, SLOPE, UNIT, SHARE, LENGTH = 75, 25, 1000, 1_000_000_000, 12
 #: Documents of a block; terms and items of one pass (about); strata in the first waves.
 BLOCK, PASS_TERMS, PASS_ITEMS, WAVES = 256, 32_768, 512, (8, 64)
 
+#: Parts of a stratum when its size is looked up.
+SALTS = 32
+
 _SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -125,7 +128,9 @@ def _stratified(asked: DataFrame, n_docs: int, length: int) -> DataFrame:
     """The index: a row for each block of a stratum. Documents by id; postings by term and tf."""
     strata = asked.select(F.expr(f"{BASE} + ({SLOPE} * n * {n_docs}) div {length}").alias("m"), "row", "id", "missing", "tids", "tfs")
     blocks = strata.groupBy("m").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = strata.join(blocks, "m").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    # Many documents may have one m: they meet its number of blocks in several places.
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = strata.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS))).join(blocks, ["m", "salt"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["missing", "id", "row"])
