@@ -171,7 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
         for frame in frames:
             yield pd.DataFrame([[y, *features(t)] for y, t in zip(frame["y"], frame["text"], strict=True)], columns=["y", *FEATURES])
 
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text").mapInPandas(extract, _FEATURES_SCHEMA)
+    # One row for each labelled id and label, the least text of it: as many as the sample, however often an id is repeated.
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = texts.select("y", "text").mapInPandas(extract, _FEATURES_SCHEMA)
     # Sorted, so that the fit doesn't depend on the order in which tasks end.
     data = np.array(sorted(tuple(r) for r in rows.collect())).reshape(-1, 1 + len(FEATURES))
     return fit(data[:, 1:], data[:, 0])
