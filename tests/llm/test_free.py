@@ -200,6 +200,16 @@ def test_packing(docs, no_docs, texts, spark, sf_dir):
     assert check_packing(got, rows) <= -(-sum(r.length for r in got) // 2048) * 1.05 + 2
 
 
+def test_packing_of_long_runs(spark):
+    rows = [(1, "x" + " " * 2_000_000 + "x"), (2, "\n" * 1_000_000), (3, "ab" * 1_000_000), (4, "a b" * 10)] + [(5, "same")] * 300
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER).collect()
+    lengths = Counter()
+    for r in got:
+        lengths[r.doc_id] += r.length
+    assert lengths[1] > 1_000_000 and lengths[2] > 100_000 and lengths[5] == 300 * 2
+    check_packing([r for r in got if r.doc_id == 1], [rows[0]])
+
+
 def test_local_search_empties_bins():
     counts = Counter({1000: 500, 700: 600, 400: 100, 650: 300, 300: 10})
     first = packing.best_fit(counts)

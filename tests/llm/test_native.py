@@ -34,8 +34,8 @@ def test_fingerprints(docs, no_docs):
         edited = text[: len(text) - half] + after[key][:half]
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         if r.n_chars > 100:
-            assert abs(r.near_edited - jaccard(text, edited)) < 0.3
-            assert abs(r.near_next - jaccard(text, after[key])) < 0.3
+            assert abs(r.near_edited - jaccard(text, edited)) < 0.22  # three standard errors
+            assert abs(r.near_next - jaccard(text, after[key])) < 0.22
         known.setdefault(text, set()).add(r.fingerprint)
     assert all(len(v) == 1 for v in known.values())
     assert fingerprints.fingerprint(no_docs).count() == 0
@@ -72,6 +72,16 @@ def test_shards_are_even(spark):
     assert by_bytes.select("shard").distinct().count() == 5
 
 
+def test_repeated_rows_are_split(spark):
+    rows = [(7, "the same row again and again", "en", "hot")] * 1000 + [(i, "x" * (i * 37 % 60), "en", f"s{i % 7}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sizes = Counter()
+    for r in sharding.shard(docs, leaves=8).collect():
+        sizes[r.shard] += r.size
+    even = sum(sizes.values()) / 8
+    assert all(abs(n - even) <= max(61, even / 100) for n in sizes.values()), sizes
+
+
 def brute_targets(sizes):
     """Reshare the excess by weight until no source is above twice its size."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))

@@ -34,3 +34,12 @@ def test_pipeline(spark, sf_dir):
     packed = stages["best-fit packing"](spark, mixed, sf_dir).collect()
     check_packing(packed, [(r.doc_id, r.text) for r in mixed.collect()])
     assert corpus_pipeline.run(spark, sf_dir).count() == len(packed)
+
+
+def test_no_document_is_lost_by_its_id(spark, sf_dir):
+    base = " ".join(f"word{i}" for i in range(60))
+    near, other = base.replace("word59", "changed"), " ".join(f"else{i}" for i in range(40))
+    rows = [(1, base), (2, near), (2, other), (None, other + " x"), (None, "lonely text of six short words"), (3, near), (3, base + " y"), (4, ""), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert sorted((r.doc_id or 0, (r.text or "")[:6]) for r in kept.collect()) == [(0, "lonely"), (1, "word0 "), (2, "else0 "), (4, ""), (5, "")]

@@ -276,10 +276,11 @@ def _cells(df: DataFrame, size: str, block: int, by: str = "sid") -> DataFrame:
     )
 
 
-def join_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """docs (doc_id, text) as doc_id, n_shingles, component_id, n_links.
+def join_classes(docs: DataFrame, k: int = 3, percent: int = 90, keyed: bool = False) -> DataFrame:
+    """docs (doc_id, text) as doc_id, n_shingles, component_id, n_links, and with `keyed` text_hash, class_id.
 
-    n_links: how many other documents the document links to.
+    n_links: how many other documents the document links to. text_hash tells rows of one id, or
+    of none, apart; class_id is the same for all rows of a class, null for those without words.
     """
     spark = docs.sparkSession
     # The text's own hash tells rows without an id apart.
@@ -362,7 +363,13 @@ def join_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     degrees = links.groupBy("sid").agg(F.sum("links").alias("links"))
     known = sets.select("sid", "copies", "doc_id").join(classes.withColumnRenamed("node", "sid"), "sid", "left").join(degrees, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_set = known.join(smallest, "root").select("sid", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return meta.where("n > 0").select("doc_id", "sid", "n").join(by_set, "sid").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links"
-    ).unionByName(meta.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    by_set = known.join(smallest, "root").select("sid", "root", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    full = meta.where("n > 0").select("doc_id", "hash", "sid", "n").join(by_set, "sid").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links", F.col("hash").alias("text_hash"), F.col("root").alias("class_id")
+    )
+    nothing = F.lit(0).cast("long")
+    empty = meta.where("n = 0").select(
+        "doc_id", nothing.alias("n_shingles"), F.col("doc_id").alias("component_id"), nothing.alias("n_links"), F.col("hash").alias("text_hash"), F.lit(None).cast("long").alias("class_id")
+    )
+    classes_ = full.unionByName(empty)
+    return classes_ if keyed else classes_.drop("text_hash", "class_id")
