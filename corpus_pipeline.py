@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import jaccard, mixing, packing, quality
+from tillroll.llm.columns import text_of
 from tillroll.llm.queries import TOKENIZER
 from tillroll.llm.storage import written
 
@@ -24,13 +25,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the smallest id; rows repeated in full stay once.
+    """One document of each class: the one with the smallest id (rows without an id last).
 
-    Documents without an id can't be told apart by one and stay, without exact copies.
+    A row is known by its id and its text's hash: rows of one id with different texts are
+    different documents. Documents without words are no class; rows repeated in full stay once.
     """
-    classes = jaccard.join_classes(docs, k=5, percent=80)
-    goes = classes.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(goes, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    row = lambda doc_id, text_hash: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), text_hash.cast("string"))
+    classes = jaccard.join_classes(docs, k=5, percent=80, keyed=True)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    linked = classes.where("class_id is not null").groupBy("class_id").agg(F.min(order).alias("least")).select(row(F.col("least.doc_id"), F.col("least.text_hash")).alias("_row"))
+    alone = classes.where("class_id is null").select(row(F.col("doc_id"), F.col("text_hash")).alias("_row")).distinct()
+    named = docs.select(F.struct(*docs.columns).alias("doc"), row(F.col("doc_id"), F.xxhash64(text_of())).alias("_row"))
+    return named.join(linked.unionByName(alone), "_row").groupBy("_row").agg(F.first("doc").alias("doc")).select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
