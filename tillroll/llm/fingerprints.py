@@ -69,21 +69,22 @@ def bid(sample: int) -> Column:
     return F.shiftleft(((value + 128) * STEPS).cast("long"), NAME) + name
 
 
-def signatures(rows: DataFrame, by: str, left: str, right: str) -> DataFrame:
+def signatures(rows: DataFrame, by: list[str], left: str, right: str) -> DataFrame:
     """rows (by, left, right: terms of two texts) as by, sig, other_sig: the names of the samples.
 
-    A term that both texts have equally often draws once for both.
+    A term that both texts have equally often draws once for both. Rows that are dealt out by one
+    of the columns ``by`` are folded where they are.
     """
     parts = [F.array_except(left, right), F.array_except(right, left), F.array_intersect(left, right)]
-    each = rows.select(by, F.explode(F.array(*[F.struct(F.lit(i).alias("side"), p.alias("terms")) for i, p in enumerate(parts)])).alias("part"))
-    each = each.select(by, "part.side", F.explode("part.terms").alias("number")).select(
-        by, "side", F.shiftrightunsigned("number", WEIGHT).alias("term"), F.ln(F.col("number").bitwiseAND(F.lit((1 << WEIGHT) - 1)).cast("double")).alias("ln_w")
+    each = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("side"), p.alias("terms")) for i, p in enumerate(parts)])).alias("part"))
+    each = each.select(*by, "part.side", F.explode("part.terms").alias("number")).select(
+        *by, "side", F.shiftrightunsigned("number", WEIGHT).alias("term"), F.ln(F.col("number").bitwiseAND(F.lit((1 << WEIGHT) - 1)).cast("double")).alias("ln_w")
     )
-    least = each.groupBy(by, "side").agg(*[F.min(bid(i)).alias(f"s{i}") for i in range(SAMPLES)])
+    least = each.groupBy(*by, "side").agg(*[F.min(bid(i)).alias(f"s{i}") for i in range(SAMPLES)])
     of = lambda side, i: F.min(F.when(F.col("side") != 1 - side, F.col(f"s{i}")))
-    both = least.groupBy(by).agg(*[of(side, i).alias(f"s{side}_{i}") for side in (0, 1) for i in range(SAMPLES)])
+    both = least.groupBy(*by).agg(*[of(side, i).alias(f"s{side}_{i}") for side in (0, 1) for i in range(SAMPLES)])
     sig = lambda side: F.array(*[F.col(f"s{side}_{i}").bitwiseAND(F.lit((1 << NAME) - 1)).cast("int") for i in range(SAMPLES)])
-    return both.select(by, sig(0).alias("sig"), sig(1).alias("other_sig"))
+    return both.select(*by, sig(0).alias("sig"), sig(1).alias("other_sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -129,8 +130,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), "head")
     pairs = texts.join(heads, "key").join(order, "key").select("key", "text", edited.alias("edited"))
     drawn = pairs.select("key", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), terms(F.col("text")).alias("terms"), terms(F.col("edited")).alias("edited_terms"))
-    signed = signatures(drawn.select(F.struct("key", "sha").alias("who"), "terms", "edited_terms"), "who", "terms", "edited_terms")
-    held = written(signed.select("who.key", F.col("who.sha").alias("edited_sha256"), "sig", F.col("other_sig").alias("edited_sig")), "cws-signatures")
+    signed = signatures(drawn, ["key", "sha"], "terms", "edited_terms")
+    held = written(signed.select("key", F.col("sha").alias("edited_sha256"), "sig", F.col("other_sig").alias("edited_sig")), "cws-signatures")
     following = order.select("key", "next_key").join(held.select(F.col("key").alias("next_key"), F.col("sig").alias("next_sig")), "next_key").select("key", "next_sig")
     return (
         held.join(order, "key").join(following, "key")
