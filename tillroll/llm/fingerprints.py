@@ -25,6 +25,8 @@ from tillroll.llm.storage import written
 
 #: Samples of a fingerprint. The likeness of two has a standard error of 0.5 / sqrt(SAMPLES) at most.
 SAMPLES = 48
+#: Samples that one pass over the terms draws; divides SAMPLES.
+FUSED = 6
 #: Bits of a uniform number, of a sample's name; steps of a bid per unit.
 UNIFORM, NAME, STEPS = 30, 31, 1 << 23
 #: Bits of a term's hash and of its number of occurrences, which stops at the highest one.
@@ -53,9 +55,9 @@ def terms(text: Column) -> Column:
     return F.element_at(F.transform(F.array(hashes), lambda h: F.when(F.size(h) > 0, runs(h)).otherwise(F.array(F.lit(1).cast("long")))), 1)
 
 
-def bid(sample: int) -> Column:
+def bid(sample: Column) -> Column:
     """Bid and name of columns term and ln_w in one number, the smaller the better."""
-    one = F.xxhash64("term", F.lit(sample))
+    one = F.xxhash64("term", sample)
     two = F.xxhash64(one)
     three = F.xxhash64(two)
     uniform = lambda h: (h.bitwiseAND(F.lit((1 << UNIFORM) - 1)) + F.lit(0.5)) * F.lit(2.0**-UNIFORM)
@@ -65,7 +67,8 @@ def bid(sample: int) -> Column:
     b = uniform(three)
     t = F.floor(F.col("ln_w") / r + b)
     value = F.ln(c) - r * (t - b + 1)
-    name = F.xxhash64("term", t, F.lit(sample)).bitwiseAND(F.lit((1 << NAME) - 1))
+    # An odd factor: different t of a term have different names.
+    name = (F.shiftrightunsigned(three, 64 - NAME) + t * 40503).bitwiseAND(F.lit((1 << NAME) - 1))
     return F.shiftleft(((value + 128) * STEPS).cast("long"), NAME) + name
 
 
@@ -73,17 +76,22 @@ def signatures(rows: DataFrame, by: list[str], left: str, right: str) -> DataFra
     """rows (by, left, right: terms of two texts) as by, sig, other_sig: the names of the samples.
 
     A term that both texts have equally often draws once for both. Rows that are dealt out by one
-    of the columns ``by`` are folded where they are.
+    of the columns ``by`` are folded where they are. Samples are drawn FUSED at a time, each term
+    once for every such group: the compiled code of all in one would be too large for HotSpot,
+    which then interprets it.
     """
     parts = [F.array_except(left, right), F.array_except(right, left), F.array_intersect(left, right)]
     each = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("side"), p.alias("terms")) for i, p in enumerate(parts)])).alias("part"))
     each = each.select(*by, "part.side", F.explode("part.terms").alias("number")).select(
         *by, "side", F.shiftrightunsigned("number", WEIGHT).alias("term"), F.ln(F.col("number").bitwiseAND(F.lit((1 << WEIGHT) - 1)).cast("double")).alias("ln_w")
     )
-    least = each.groupBy(*by, "side").agg(*[F.min(bid(i)).alias(f"s{i}") for i in range(SAMPLES)])
+    each = each.withColumn("fused", F.explode(F.array(*[F.lit(g) for g in range(SAMPLES // FUSED)])))
+    drawn = each.select(*by, "side", "fused", *[bid(F.col("fused") * FUSED + i).alias(f"s{i}") for i in range(FUSED)])
     of = lambda side, i: F.min(F.when(F.col("side") != 1 - side, F.col(f"s{i}")))
-    both = least.groupBy(*by).agg(*[of(side, i).alias(f"s{side}_{i}") for side in (0, 1) for i in range(SAMPLES)])
-    sig = lambda side: F.array(*[F.col(f"s{side}_{i}").bitwiseAND(F.lit((1 << NAME) - 1)).cast("int") for i in range(SAMPLES)])
+    least = drawn.groupBy(*by, "fused").agg(*[of(side, i).alias(f"s{side}_{i}") for side in (0, 1) for i in range(FUSED)])
+    pick = lambda side, i: F.min(F.when(F.col("fused") == i // FUSED, F.col(f"s{side}_{i % FUSED}")))
+    both = least.groupBy(*by).agg(*[pick(side, i).alias(f"m{side}_{i}") for side in (0, 1) for i in range(SAMPLES)])
+    sig = lambda side: F.array(*[F.col(f"m{side}_{i}").bitwiseAND(F.lit((1 << NAME) - 1)).cast("int") for i in range(SAMPLES)])
     return both.select(*by, sig(0).alias("sig"), sig(1).alias("other_sig"))
 
 
