@@ -25,8 +25,12 @@ from tillroll.llm.storage import written
 
 #: Samples of a fingerprint. The likeness of two has a standard error of 0.5 / sqrt(SAMPLES) at most.
 SAMPLES = 48
-#: Bits of a uniform number, of a sample's name; steps of a bid per unit.
-UNIFORM, NAME, STEPS = 30, 31, 1 << 23
+#: Samples that one row draws at once: code for many more is too long to be compiled.
+AT_ONCE = 8
+#: Bits of a uniform number and of a bid, and of a sample's name; an odd number that names of one term differ by for each t.
+BID, NAME, STEP = 32, 31, 0x2545F491
+#: Bits of a name that a fingerprint keeps: different samples have equal ones once in 65,536 times.
+KEPT = 16
 #: Bits of a term's hash and of its number of occurrences, which stops at the highest one.
 TERM, WEIGHT = 40, 24
 
@@ -53,20 +57,41 @@ def terms(text: Column) -> Column:
     return F.element_at(F.transform(F.array(hashes), lambda h: F.when(F.size(h) > 0, runs(h)).otherwise(F.array(F.lit(1).cast("long")))), 1)
 
 
-def bid(sample: int) -> Column:
-    """Bid and name of columns term and ln_w in one number, the smaller the better."""
-    one = F.xxhash64("term", F.lit(sample))
-    two = F.xxhash64(one)
-    three = F.xxhash64(two)
-    uniform = lambda h: (h.bitwiseAND(F.lit((1 << UNIFORM) - 1)) + F.lit(0.5)) * F.lit(2.0**-UNIFORM)
-    high = lambda h: F.shiftrightunsigned(h, 64 - UNIFORM)
-    r = -F.ln(uniform(one) * uniform(high(one)))
-    c = -F.ln(uniform(two) * uniform(high(two)))
-    b = uniform(three)
-    t = F.floor(F.col("ln_w") / r + b)
-    value = F.ln(c) - r * (t - b + 1)
-    name = F.xxhash64("term", t, F.lit(sample)).bitwiseAND(F.lit((1 << NAME) - 1))
-    return F.shiftleft(((value + 128) * STEPS).cast("long"), NAME) + name
+def bids(rows: DataFrame) -> DataFrame:
+    """rows (term, batch, ln_w, more: w - 1, ...) with bid0, bid1, ...: bid and name in one number, the smaller the better.
+
+    With exponential x, y, e: c = x + y, r = e + ln(c / x) and b = e / r, which are Gamma(2, 1),
+    Gamma(2, 1) and uniform. The bid c exp(-r (t - b + 1)) is then x exp(-r t). It is kept as
+    1 - exp(-bid), which is the hash itself where t = 0. That is so where y > (w - 1) x, and
+    surely where u + (w - 1) v < 1 for their uniform numbers: always for a weight of one. The
+    logarithms are only computed elsewhere. Each step is a column, so that it is computed once.
+    """
+    uniform = lambda h: (h + F.lit(0.5)) * F.lit(2.0**-BID)
+    high = lambda h: uniform(F.shiftrightunsigned(h, 64 - BID))
+    low = lambda h: uniform(h.bitwiseAND(F.lit((1 << BID) - 1)))
+    mask = F.lit((1 << NAME) - 1)
+    col = lambda name, i: F.col(f"{name}{i}")
+
+    def best(i: int) -> Column:
+        t, first = col("t", i), F.shiftrightunsigned(col("one", i), 64 - BID - NAME)
+        value = F.floor(-F.expm1(-(col("x", i) * F.exp(-(col("r", i) * t)))) * F.lit(2.0**BID))
+        name = (first.bitwiseAND(mask) + t.bitwiseAND(mask) * F.lit(STEP)).bitwiseAND(mask)
+        return F.coalesce(F.shiftleft(value, NAME) + name, first)
+
+    steps = {
+        "one": lambda i: F.xxhash64("term", "batch", F.lit(i)),
+        "two": lambda i: F.xxhash64(col("one", i)),
+        # Null where t is 0 for sure: what follows is then not computed.
+        "zero": lambda i: F.when(high(col("two", i)) + F.col("more") * high(col("one", i)) >= 1, F.lit(0.0)),
+        "x": lambda i: -F.log1p(col("zero", i) - high(col("one", i))),
+        "e": lambda i: -F.ln(col("zero", i) + low(col("two", i))),
+        "r": lambda i: col("e", i) + F.log1p(-F.ln(col("zero", i) + high(col("two", i))) / col("x", i)),
+        "t": lambda i: F.floor((F.col("ln_w") + col("e", i)) / col("r", i)),
+        "bid": best,
+    }
+    for name, step in steps.items():
+        rows = rows.withColumns({f"{name}{i}": step(i) for i in range(AT_ONCE)})
+    return rows
 
 
 def signatures(rows: DataFrame, by: list[str], left: str, right: str) -> DataFrame:
@@ -77,14 +102,17 @@ def signatures(rows: DataFrame, by: list[str], left: str, right: str) -> DataFra
     """
     parts = [F.array_except(left, right), F.array_except(right, left), F.array_intersect(left, right)]
     each = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("side"), p.alias("terms")) for i, p in enumerate(parts)])).alias("part"))
+    weight = F.col("number").bitwiseAND(F.lit((1 << WEIGHT) - 1)).cast("double")
+    batches = range(SAMPLES // AT_ONCE)
     each = each.select(*by, "part.side", F.explode("part.terms").alias("number")).select(
-        *by, "side", F.shiftrightunsigned("number", WEIGHT).alias("term"), F.ln(F.col("number").bitwiseAND(F.lit((1 << WEIGHT) - 1)).cast("double")).alias("ln_w")
-    )
-    least = each.groupBy(*by, "side").agg(*[F.min(bid(i)).alias(f"s{i}") for i in range(SAMPLES)])
+        *by, "side", F.shiftrightunsigned("number", WEIGHT).alias("term"), F.ln(weight).alias("ln_w"), (weight - 1).alias("more")
+    ).withColumn("batch", F.explode(F.array(*[F.lit(n) for n in batches])))
+    least = bids(each).groupBy(*by, "batch", "side").agg(*[F.min(f"bid{i}").alias(f"s{i}") for i in range(AT_ONCE)])
     of = lambda side, i: F.min(F.when(F.col("side") != 1 - side, F.col(f"s{i}")))
-    both = least.groupBy(*by).agg(*[of(side, i).alias(f"s{side}_{i}") for side in (0, 1) for i in range(SAMPLES)])
-    sig = lambda side: F.array(*[F.col(f"s{side}_{i}").bitwiseAND(F.lit((1 << NAME) - 1)).cast("int") for i in range(SAMPLES)])
-    return both.select(*by, sig(0).alias("sig"), sig(1).alias("other_sig"))
+    kept = lambda side: F.array(*[of(side, i).bitwiseAND(F.lit((1 << KEPT) - 1)).cast("int") for i in range(AT_ONCE)])
+    both = least.groupBy(*by, "batch").agg(kept(0).alias("sig"), kept(1).alias("other_sig"))
+    whole = lambda name: F.concat(*[F.max(F.when(F.col("batch") == n, F.col(name))) for n in batches]).alias(name)
+    return both.groupBy(*by).agg(whole("sig"), whole("other_sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -93,7 +121,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(sig: Column) -> Column:
-    return F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x)), KEPT // 4, "0")), "")
 
 
 def _in_order(ids: DataFrame) -> DataFrame:
