@@ -26,3 +26,26 @@ def scans(df) -> list[dict[str, int]]:
 
     walk(df._jdf.queryExecution().executedPlan())
     return out
+
+
+def _nodes(node) -> list:
+    name = node.nodeName()
+    if "AdaptiveSparkPlan" in name:
+        return _nodes(node.executedPlan())
+    if "QueryStage" in name:
+        return _nodes(node.plan())
+    children = node.children()
+    return [node] + [x for i in range(children.size()) for x in _nodes(children.apply(i))]
+
+
+def records_sent(df) -> int:
+    """Rows that the shuffles of an executed DataFrame wrote."""
+    nodes = _nodes(df._jdf.queryExecution().executedPlan())
+    return sum(n.metrics().apply("shuffleRecordsWritten").value() for n in nodes if n.nodeName() == "Exchange")
+
+
+def largest_method(df) -> int:
+    """Bytes of the largest method in the code that is generated for a DataFrame's fused stages."""
+    debug = getattr(df.sparkSession._jvm.org.apache.spark.sql.execution.debug, "package$")
+    stages = getattr(debug, "MODULE$").codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()))

@@ -6,6 +6,7 @@ import datetime as dt
 
 import pytest
 
+from tests import plans
 from tillroll.plans import marts, quality
 from tillroll.plans.tables import Tables
 
@@ -120,3 +121,21 @@ def test_issue_report(shop):
         "items without barcode": (1, 9, 11.1),
         "status ACCEPTED never used": (1, 1, 100.0),
     }
+
+
+def test_whole_star_sends_items_once(spark):
+    receipts = spark.range(20).selectExpr("string(id) AS receipt_id", "string(id % 5) AS user_id")
+    items = spark.range(2000).selectExpr("string(id % 20) AS receipt_id", "IF(id % 2 = 0, string(id % 7), NULL) AS barcode")
+    users = spark.range(5).selectExpr("string(id) AS user_id", "'WI' AS state")
+    brands = spark.range(5).selectExpr("string(id) AS barcode", "concat('b', id) AS name")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        star = quality.star_view(Tables(receipts, items, users, brands))
+        rows = star.collect()
+        sent = plans.records_sent(star)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(rows) == 2000 and sum(r.b_name is not None for r in rows) == sum(i % 2 == 0 and i % 7 < 5 for i in range(2000))
+    # Each item to its receipt, those with a barcode to the brands before; receipts, users, brands and keys besides.
+    assert sent < 2000 + 1000 + 500

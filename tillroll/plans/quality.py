@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.numbers import percent
 from tillroll.operators.checks import domain_check
-from tillroll.operators.joins import left_join_heavy_right, left_join_missing_keys
+from tillroll.operators.joins import left_join_heavy_right, left_join_missing_keys, split_missing_keys, without_match
 from tillroll.operators.keys import duplicate_excess
 from tillroll.operators.linkage import linkage_summary
 from tillroll.plans.tables import Tables
@@ -19,6 +19,25 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{prefix}_{c}") for c in df.columns))
 
 
+def _without(df: DataFrame, missing: DataFrame) -> DataFrame:
+    """Rows with NULL for the columns that only the other rows have."""
+    return df.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in missing.schema if f.name not in df.columns))
+
+
+def _whole_star(r: DataFrame, u: DataFrame, i: DataFrame, b: DataFrame) -> DataFrame:
+    """The star of all receipts: users join the receipts and brands the items, before the two
+    sides meet, so that a row travels with what it needs. Items without a barcode don't travel
+    to the brands at all.
+    """
+    with_barcode, without = split_missing_keys(i, "i_barcode")
+    named = with_barcode.join(b, "i_barcode", "left")
+    items = named.unionByName(_without(without, named))
+    with_users = left_join_missing_keys(r, u, "r_user_id", "r_receipt_id")
+    # As in left_join_heavy_right; the items' keys are taken before brands are joined.
+    matched = with_users.join(items, "r_receipt_id")
+    return matched.unionByName(_without(without_match(with_users, i, "r_receipt_id"), matched))
+
+
 def star_view(tables: Tables, receipts: DataFrame | None = None) -> DataFrame:
     """Receipts with their user, items and the items' brands, all left joined.
 
@@ -29,11 +48,13 @@ def star_view(tables: Tables, receipts: DataFrame | None = None) -> DataFrame:
     u = _prefixed(tables.users_dedup, "u").withColumn("r_user_id", F.col("u_user_id"))
     i = _prefixed(tables.items, "i").withColumn("r_receipt_id", F.col("i_receipt_id"))
     b = _prefixed(tables.brands_cleaned, "b").withColumn("i_barcode", F.col("b_barcode"))
-    # Receipts are split into those with and without items before anything else is joined, so
-    # that users and brands are read and joined once.
-    with_items = left_join_heavy_right(r, i, "r_receipt_id")
-    with_users = left_join_missing_keys(with_items, u, "r_user_id", "r_receipt_id")
-    star = left_join_missing_keys(with_users, b, "i_barcode", "r_receipt_id")
+    if receipts is None:
+        star = _whole_star(r, u, i, b)
+    else:
+        # Few receipts: items are joined first, so that only theirs are named.
+        with_items = left_join_heavy_right(r, i, "r_receipt_id")
+        with_users = left_join_missing_keys(with_items, u, "r_user_id", "r_receipt_id")
+        star = left_join_missing_keys(with_users, b, "i_barcode", "r_receipt_id")
     return star.select(*r.columns, *(c for c in u.columns if c not in r.columns), *(c for c in i.columns if c not in r.columns), *(c for c in b.columns if c != "i_barcode"))
 
 
