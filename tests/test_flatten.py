@@ -9,7 +9,9 @@ import pytest
 from pyspark.errors import PySparkException
 
 from tillroll import schemas
+from tests.plans import largest_method
 from tillroll.operators.flatten import (
+    FLATTEN,
     accepted,
     flatten_brands,
     flatten_items,
@@ -255,3 +257,21 @@ def test_brand_reference(spark):
     assert (b.cpg_id, b.cpg_ref, b.top_brand) == (None, None, False)
     assert (c.cpg_id, c.cpg_ref, c.top_brand) == (None, "Cpgs", None)
     assert reasons(rows) == ["cpg: not an object"] * 2
+
+
+def test_flattening_is_compiled(spark):
+    """The JVM leaves methods of more than 8000 bytes interpreted."""
+    for table, flatten in FLATTEN.items():
+        rows = flatten(documents(spark, oid("a")))
+        assert max(largest_method(rows), largest_method(accepted(rows))) < 8000, table
+
+
+def test_plain_and_quoted_values_read_alike(spark):
+    """Plain values skip their JSON; what stands in quotes, is null or odd does not."""
+    values = [5, "5", "5.0", 5.0, "+5", " 5", True, "true", "TRUE", None, "null", {"a": 1}, [5], 99999999999, "x"]
+    items = [{"partnerItemId": str(n), "quantityPurchased": v, "finalPrice": v, "needsFetchReview": v} for n, v in enumerate(values)]
+    rows = flatten_items(documents(spark, oid("a") | {"rewardsReceiptItemList": items})).collect()
+    by_id = {int(r.partner_item_id): r for r in rows}
+    assert [by_id[n].quantity_purchased for n in range(len(values))] == [5, 5, None, 5, 5, 5, None, None, None, None, None, None, None, None, None]
+    assert [by_id[n].final_price for n in range(len(values))] == [5.0, 5.0, 5.0, 5.0, 5.0, 5.0, 1.0, None, None, None, None, None, None, 99999999999.0, None]
+    assert [by_id[n].needs_fetch_review for n in range(len(values))] == [None, None, None, None, None, None, True, True, True, None, None, None, None, None, None]

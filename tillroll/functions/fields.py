@@ -1,13 +1,16 @@
 """Typed values and complaints for the fields of a semi-structured document.
 
 A typed JSON reader cannot tell a missing key from an explicit null, nor a wrong type
-from a null, so documents are VARIANTs. One cast takes all fields out of a document:
-text fields as text, the others as variants, whose JSON text then shows everything at
-once: ``5`` is a number, ``"5"`` a text, ``null`` a null, and NULL a missing key.
+from a null, so documents are VARIANTs. One cast takes all fields out of a document, dates as
+variants, the others as text. Text that is not plain is replaced by the field's JSON, which
+shows everything at once: ``5`` is a number, ``"5"`` a text, ``null`` a null, and NULL a
+missing key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +55,7 @@ def _shape(fields: tuple[Field, ...]) -> str:
         node = tree
         for key in parents:
             node = node.setdefault(key, {})
-        node[last] = "string" if field.kind == "text" else "variant"
+        node[last] = "variant" if field.kind == "date" else "string"
 
     def ddl(node: dict | str) -> str:
         if isinstance(node, str):
@@ -74,8 +77,28 @@ def computed(df: DataFrame, *columns: Column | str) -> DataFrame:
     return numbered.filter("_partition >= 0").drop("_partition")
 
 
+#: Texts that mean the same within quotes and without: for these, JSON need not be written.
+_QUICK = {
+    "number": is_plain_decimal,
+    "whole": lambda text: text_to_int(text).isNotNull() & text.rlike(PLAIN_WHOLE),
+    "flag": lambda text: text.isin("true", "false"),
+}
+
+
+def _json_text(value: Column, document: Column, field: Field) -> Column:
+    if field.kind == "text":
+        return value
+    if field.kind == "date":
+        return F.to_json(value)
+    return F.when(_QUICK[field.kind](value), value).otherwise(F.to_json(leaf(document, field.path)))
+
+
 def take_texts(df: DataFrame, document: str, fields: tuple[Field, ...]) -> DataFrame:
-    """Add ``texts``, a struct of every field's text by column name."""
+    """Add ``texts``, a struct of every field's text by column name.
+
+    Catalyst inlines a struct of which only fields are used, so that every use of a text would
+    write it as JSON again; there are several for each field.
+    """
     cast = F.try_variant_get(df[document], "$", _shape(fields)).alias("taken")
     others = df.columns
     df = df.select("*", cast)
@@ -84,8 +107,8 @@ def take_texts(df: DataFrame, document: str, fields: tuple[Field, ...]) -> DataF
         value = F.col("taken")
         for key in field.path:
             value = value.getField(key)
-        texts.append((value if field.kind == "text" else F.to_json(value)).alias(field.column))
-    return df.select(*others, F.struct(*texts).alias("texts"))
+        texts.append(_json_text(value, df[document], field).alias(field.column))
+    return computed(df, *others, F.struct(*texts).alias("texts"))
 
 
 _QUOTE = '"'
@@ -150,8 +173,33 @@ def _date(json: Column) -> tuple[Column, Column]:
 _KINDS = {"number": _number, "whole": _whole, "flag": _flag, "date": _date}
 
 
-def extract(texts: Column, document: Column, field: Field) -> tuple[Column, Column]:
-    """Value and complaint (NULL if the value can be stored) of one field."""
+def _read(kind_: str) -> Callable[[Column], Column]:
+    def read(json: Column) -> Column:
+        value, complaint = _KINDS[kind_](json)
+        return F.struct(value.alias("value"), complaint.alias("complaint"))
+
+    return read
+
+
+def read_values(df: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+    """Add ``read_<kind>``: value and complaint of every field that is no text, by kind.
+
+    One function is applied to the list of a kind's texts. Written out for each field, all of
+    this would be one method of generated code, too large for the JVM to compile.
+    """
+    reads = []
+    for kind_, of in _by_kind(fields).items():
+        texts = F.array(*(F.col("texts").getField(field.column) for field in of))
+        reads.append(F.transform(texts, _read(kind_)).alias(f"read_{kind_}"))
+    return df.select("*", *reads)
+
+
+def _by_kind(fields: tuple[Field, ...]) -> dict[str, list[Field]]:
+    return {k: of for k in _KINDS if (of := [field for field in fields if field.kind == k])}
+
+
+def extract(texts: Column, document: Column, field: Field, fields: tuple[Field, ...]) -> tuple[Column, Column]:
+    """Value and complaint (NULL if the value can be stored) of one field of ``read_values``."""
     text = texts.getField(field.column)
     if field.kind == "text":
         found, complaint = _text(text, document, field)
@@ -159,7 +207,8 @@ def extract(texts: Column, document: Column, field: Field) -> tuple[Column, Colu
         missing = F.when(text.isNull(), leaf(document, field.path).isNull())
         null = F.when(text.isNull(), leaf(document, field.path).isNotNull())
     else:
-        found, complaint = _KINDS[field.kind](text)
+        read = F.col(f"read_{field.kind}")[_by_kind(fields)[field.kind].index(field)]
+        found, complaint = read["value"], read["complaint"]
         missing, null = text.isNull(), text == "null"
     if field.default is not None:
         found = F.when(missing, F.lit(field.default)).otherwise(found)

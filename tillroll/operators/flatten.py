@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll import schemas
-from tillroll.functions.fields import computed, extract, is_object, json_path, kind, take_texts
+from tillroll.functions.fields import computed, extract, is_object, json_path, kind, read_values, take_texts
 
 REASON, SOURCE = "reject_reason", "source"
 
@@ -39,11 +39,12 @@ def _rows(
     complaints: tuple[Column, ...] = (),
 ) -> DataFrame:
     """Columns and complaints of all fields in one projection."""
-    rows = take_texts(rows, document, fields)
-    extracted = [extract(F.col("texts"), F.col(document), field) for field in fields]
+    given = rows.columns
+    rows = read_values(take_texts(rows, document, fields), fields)
+    extracted = [extract(F.col("texts"), F.col(document), field, fields) for field in fields]
     reasons = F.concat_ws("; ", *complaints, *(complaint for _, complaint in extracted))
     values = [value for value, _ in extracted]
-    inputs = [c for c in rows.columns if c not in carried and c != "texts"]
+    inputs = [c for c in given if c not in carried]
     rows = rows.select(*carried, *values, F.nullif(reasons, F.lit("")).alias(REASON), *inputs)
     # Only rejects need their source text.
     return rows.withColumn(SOURCE, F.when(F.col(REASON).isNotNull(), source)).drop(*inputs)
