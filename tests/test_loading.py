@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.plans import scans
 from tests.test_skew import plan, settings
-from tillroll import schemas
+from tillroll import fixtures, registry, schemas
 from tillroll.operators.linkage import linkage_profile, profile_of
 from tillroll.operators.flatten import FLATTEN
 from tillroll.sinks import catalog
@@ -274,3 +274,8 @@ def test_linked_tables_meet_without_a_shuffle(spark, tmp_path):
         assert text.split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" in text
     for t in (a, b, f"{a}_hot", f"{b}_hot"):
         spark.sql(f"DROP TABLE {t}")
+
+
+def test_published_documents_are_dealt_out_before_parsing(spark, sf_dir):
+    for name, rows in registry._flattened(fixtures.tables(spark, sf_dir)).items():
+        assert "RebalancePartitions" in rows._jdf.queryExecution().optimizedPlan().toString(), name

@@ -128,11 +128,12 @@ def _event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flattened(t: Tables) -> dict[str, DataFrame]:
+    # Parsing takes far more time than moving a row, and a table may lie in few splits.
     documents = {
-        "receipts": fixtures.receipt_documents(t.receipts),
-        "items": fixtures.item_documents(t.items),
-        "users": fixtures.user_documents(t.users),
-        "brands": fixtures.brand_documents(t.brands),
+        "receipts": fixtures.receipt_documents(t.receipts.hint("rebalance")),
+        "items": fixtures.item_documents(t.items.hint("rebalance")),
+        "users": fixtures.user_documents(t.users.hint("rebalance")),
+        "brands": fixtures.brand_documents(t.brands.hint("rebalance")),
     }
     return {name: flatten.FLATTEN[name](parse_lines(lines)) for name, lines in documents.items()}
 
