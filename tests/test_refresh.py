@@ -9,10 +9,12 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tests.plans import scans
+from tests.plans import records_sent, scans
 from tillroll import schemas
 from tillroll.operators import linkage
+from tillroll.operators.joins import with_match
 from tillroll.operators.keys import dedup_rows, drop_ambiguous_keys
 from tillroll.plans import daily, marts, refresh, states
 from tillroll.plans.tables import Tables
@@ -175,3 +177,34 @@ def test_late_receipts_are_counted_apart(spark, tmp_path):
     put(50, 101)
     run()
     assert sum(n for n, _ in read().values()) == 12 and read()[50][0] == 3 and read()[101] == (1, 0)
+
+
+def test_batches_of_one_table_are_placed_at_once(spark, tmp_path):
+    # "both" is a receipt of either batch, on other days; "open" has no receipt, as the item without an id.
+    first, _ = day_rows(spark, ("a", 1), ("both", 2), ("none", None))
+    late, _ = day_rows(spark, ("both", 4), ("b", 4), ("b", 4))
+    items = frame(spark, "items", *({"receipt_id": r, "barcode": b} for r in ("a", "both", "none", "b", "open", None) for b in ("1", None)))
+    apart, at_once = daily.DayStore(str(tmp_path / "apart")), daily.DayStore(str(tmp_path / "at-once"))
+    arriving = first.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    placed = daily.placed(at_once, arriving, items, "late").filter("late IS NOT NULL")
+    for name, receipts, which in (("first", first, "NOT late"), ("late", late, "late")):
+        daily.add_batch(spark, apart, name, receipts, with_match(items, receipts, "receipt_id"))
+        daily.add_batch(spark, at_once, name, receipts, placed.filter(which).drop("late"))
+    for table in ("receipts", "items"):
+        assert rows(daily.stored(spark, at_once, table)) == rows(daily.stored(spark, apart, table))
+
+
+def test_daily_counts_send_items_to_their_receipts_once(spark):
+    receipts, _ = day_rows(spark, *((f"r{i}", 1 + i % 9) for i in range(200)), (None, 3))
+    items = frame(spark, "items", *({"receipt_id": f"r{i}", "barcode": b} for i in range(190) for b in ("1", "2", None)))
+    tables = Tables(receipts, items, frame(spark, "users"), brands(spark, ("x", "1"), ("y", "2")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        daily_counts = marts.daily_brand_receipts(tables)
+        found = {(r.day.day, r.brand_name): r.distinct_receipts for r in daily_counts.collect()}
+        sent = records_sent(daily_counts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {(d, b): len(range(d - 1, 190, 9)) if b else len(range(d - 1, 200, 9)) for d in range(1, 10) for b in ("nx", "ny", None)}
+    # Items with a barcode to the brands, all items and their receipts once, and each receipt that has items.
+    assert sent <= 190 * 2 + 190 * 3 + 200 + 190 + 250

@@ -70,17 +70,25 @@ def _stale(spark: SparkSession, store: DayStore) -> tuple[list[str], list[str |
     return notes, sorted((None if d == NO_DAY else d for d in days), key=lambda d: d or "")
 
 
+def placed(store: DayStore, receipts: DataFrame, items: DataFrame, *carried: str) -> DataFrame:
+    """Items with ``since`` of their receipt, and what else of it is carried; missing where there is no such receipt."""
+    dated = receipts.select("receipt_id", store.since(F.to_date("date_scanned")).alias("since"), *carried)
+    return items.join(dated, "receipt_id", "left")
+
+
 def add_batch(spark: SparkSession, store: DayStore, batch: str, receipts: DataFrame, items: DataFrame) -> None:
     """Put a batch of receipts and their items in place, instead of an earlier attempt of it.
 
-    Items of receipts that the batch does not hold have no day.
+    Items of receipts that the batch does not hold have no day. Items that are ``placed`` already
+    (whoever takes several batches out of one table does that once for all) keep their ``since``.
     """
     valid, attempt = attempts.applied(spark, store.root), attempts.new_attempt(batch)
     path = attempts.folder(store.root, batch, attempt)
     dated = receipts.withColumn("since", store.since(F.to_date("date_scanned")))
     _by_day(dated, "receipt_id").write.partitionBy("since").parquet(f"{path}/table=receipts")
-    placed = items.join(dated.select("receipt_id", "since"), "receipt_id", "left")
-    _by_day(placed, "receipt_id").write.partitionBy("since").parquet(f"{path}/table=items")
+    if "since" not in items.columns:
+        items = placed(store, receipts, items)
+    _by_day(items, "receipt_id").write.partitionBy("since").parquet(f"{path}/table=items")
     touched = _folders(spark, f"{path}/table=receipts")
     if batch in valid:
         touched |= _folders(spark, f"{attempts.folder(store.root, batch, valid[batch])}/table=receipts")

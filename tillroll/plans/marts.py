@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.calendar import in_window, month_window
 from tillroll.functions.numbers import money_avg, money_parts, money_total
-from tillroll.operators.joins import left_join_missing_keys, without_match
+from tillroll.operators.joins import left_join_missing_keys, split_missing_keys, without_match
 from tillroll.operators.ranking import leaders, rank_within, top_k
 from tillroll.plans.tables import Tables
 
@@ -218,10 +218,18 @@ def daily_brand_receipts(tables: Tables) -> DataFrame:
     """Receipts per day and brand, as a table to build reports on.
 
     A receipt with two brands counts under both, so days may be added up, brands may not.
+
+    All receipts are asked for, so brands are looked up first, by items that have a barcode. Then items
+    travel to their receipts once, and a receipt's brands are made distinct where they meet.
     """
-    dated = tables.receipts.withColumn("day", F.to_date("date_scanned"))
-    return (
-        receipt_brands(tables, dated, "day")
-        .groupBy("day", "brand_name")
-        .agg(F.count_distinct("receipt_id").alias("distinct_receipts"))
-    )
+    items = tables.items.select("receipt_id", "barcode")
+    known, missing = split_missing_keys(items, "barcode")
+    named = known.join(_brand_names(tables), "barcode", "left").select("receipt_id", "brand_name")
+    named = named.unionByName(missing.select("receipt_id", _no_brand()))
+    dated = tables.receipts.select("receipt_id", F.to_date("date_scanned").alias("day"))
+    # Both joins have the same left side, which is shuffled once; receipts without an id match nothing.
+    known, missing = split_missing_keys(dated, "receipt_id")
+    bought = known.join(named, "receipt_id").distinct()
+    empty = without_match(known, items, "receipt_id").unionByName(missing).select("receipt_id", "day", _no_brand()).distinct()
+    # A receipt is in one of the two, once for each day and brand; ids that are missing don't count.
+    return bought.unionByName(empty).groupBy("day", "brand_name").agg(F.count("receipt_id").alias("distinct_receipts"))

@@ -346,11 +346,15 @@ def _day_store(spark: SparkSession, sf_dir: str) -> tuple[Tables, daily.DayStore
     """Receipts and items by month: all but the late ones, counted, then the late ones."""
     t = fixtures.tables(configure(spark), sf_dir)
     store = daily.DayStore(scratch_path(spark, "days"), "month")
-    late = t.receipts.filter(_LATE)
-    first = t.receipts.filter(f"({_LATE}) IS NOT TRUE")
-    daily.add_batch(spark, store, "first", first, joins.with_match(t.items, first, "receipt_id"))
-    daily.refresh(spark, store, t.brands)
-    daily.add_batch(spark, store, "late", late, joins.with_match(t.items, late, "receipt_id"))
+    arriving = t.receipts.withColumn("late", F.coalesce(F.expr(_LATE), F.lit(False)))
+    # Whole items travel to their receipts once for both batches, and are kept until both are in place.
+    items = daily.placed(store, arriving, t.items, "late").filter("late IS NOT NULL").persist()
+    try:
+        daily.add_batch(spark, store, "first", t.receipts.filter(f"({_LATE}) IS NOT TRUE"), items.filter("NOT late").drop("late"))
+        daily.refresh(spark, store, t.brands)
+        daily.add_batch(spark, store, "late", t.receipts.filter(_LATE), items.filter("late").drop("late"))
+    finally:
+        items.unpersist()
     return t, store
 
 
