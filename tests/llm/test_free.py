@@ -15,6 +15,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tests.llm.conftest import ROWS
 from tests.oracle import compare
+from tests.plans import records_sent
 from tillroll.llm import chat, jaccard, license_texts, licenses, neighbours, packing, quality, viterbi
 from tillroll.llm.graphs import components
 from tillroll.llm.queries import TOKENIZER
@@ -298,6 +299,30 @@ def test_recall(spark, sf_dir, uneven):
     assert np.mean(hits) >= 0.9 and min(hits) >= 0.5 and figures["share"] < 0.34, (np.mean(hits), min(hits), figures)
 
 
+def test_graph_search_holds_the_beam_only():
+    rng = np.random.default_rng(4)
+    c, q = rng.normal(0, 1, (500, 6)), rng.normal(0, 1, (80, 6))
+    exact = ((q[:, None] - c[None]) ** 2).sum(2)
+    ids, d = neighbours.CentroidGraph(c).search(q, 32)
+    assert ids.shape == d.shape == (80, 32) and all(len(set(row)) == 32 for row in ids.tolist())
+    assert np.allclose(d, np.take_along_axis(exact, ids, axis=1)) and (np.diff(d, axis=1) >= 0).all()
+    assert (ids[:, 0] == exact.argmin(1)).mean() >= 0.9
+    few, _ = neighbours.CentroidGraph(c[:5]).search(q, 32)
+    assert (np.sort(few, axis=1) == np.arange(5)).all()
+
+
+def test_blocks_return_only_what_beats_the_first_lists(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    v = np.random.default_rng(6).normal(0, 1, (4000, 8))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    figures = {}
+    found = neighbours.search(frame, query_every=100, figures=figures)
+    hits = [len({r.vec_id for r in found.collect() if r.query_id == at} & set(np.argsort(-np.where(np.arange(4000) == at, -np.inf, v @ v[at]))[:20].tolist())) / 20 for at in (0, 1700)]
+    assert min(hits) >= 0.7
+    # Probes, blocks and what was found: of 40 queries, 20 found first and few that beat them.
+    assert records_sent(found) < 5000, (records_sent(found), figures)
+
+
 def test_words_are_those_of_the_contract():
     text = "AİK b\x1cc\x0bd  e"
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -6,9 +6,10 @@ bounded sample; every vector goes to the list of its nearest centroid, found by
 of the centroids held in memory. A vector near the boundary of two lists is replicated to both.
 
 A list's best inner product with a query is estimated from what the list holds: its mean m and
-spread s give q.m + SPREAD |q| s. A query reads its most promising lists first: those of the
-graph's best centroids in each band. Its k-th score so far then decides which of all lists still
-promise more, and these are read; the others are pruned. Vectors close together or of very
+spread s give q.m + SPREAD |q| s. A query reads its most promising lists first, a fixed number of
+rows: those of the graph's best centroids in each band. Its k-th score so far then decides which of
+all lists still promise more, and these are read; the others are pruned. A block returns at most the
+k best (and ties) for a query, and of them only those that reach the score it has already. Vectors close together or of very
 different lengths need few lists, vectors without any structure many.
 
 Lists are short; some hundred of them that follow each other lie in one block, and a query
@@ -40,12 +41,12 @@ from tillroll.llm.storage import written
 LIST_ROWS, MOST_LISTS, SAMPLE, SAMPLE_FLOATS = 16, 65_536, 20_000, 4_000_000
 #: Lengths within a band differ by this factor at most.
 BAND = 1.5
-#: Links of a centroid, beam of the graph's search.
-LINKS, BEAM = 24, 96
+#: Links of a centroid; beam of the graph's search for a query and for a vector's own lists; centroids followed at a time.
+LINKS, BEAM, OWN_BEAM, EXPANDED = 24, 96, 32, 4
 #: A vector is replicated to the next list if that is within this ratio of its nearest distance.
 NEAR = 1.01
-#: A list promises its mean and so many spreads; the share of all rows that a query reads first.
-SPREAD, FIRST = 3.3, 0.02
+#: A list promises its mean and so many spreads; so many rows for each of the k wanted are read first, at any size of the table.
+SPREAD, FIRST = 3.3, 40
 #: Rows of a block, and of its queries (about).
 BLOCK, QUERY_BLOCK = 4096, 1024
 
@@ -76,30 +77,42 @@ class CentroidGraph:
         d = (centroids**2).sum(1) - 2 * centroids @ centroids.T
         near = np.argsort(d, axis=1, kind="stable")[:, : min(k, LINKS + 1)]
         far = np.random.default_rng(seed).integers(0, k, (k, 4))  # long links
-        self.links = np.concatenate([near, far], axis=1)
+        self.links, self.c2 = np.concatenate([near, far], axis=1), (centroids**2).sum(1)
         self.entries = np.unique(np.linspace(0, k - 1, min(k, 8)).astype(int))
 
-    def search(self, q: np.ndarray, beam: int = BEAM) -> np.ndarray:
-        """Squared distances to the centroids seen, inf for the others: (vectors, centroids)."""
-        rows, k = np.arange(len(q)), len(self.c)
-        seen = np.full((len(q), k), np.inf)
-        open_ = np.full((len(q), k), np.inf)
-        q2, c2 = (q**2).sum(1), (self.c**2).sum(1)
-        for e in self.entries:
-            seen[:, e] = open_[:, e] = np.maximum(0, q2 - 2 * q @ self.c[e] + c2[e])
-        beam = min(beam, k)
+    def distances(self, q: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Squared distances of rows to the centroids named for each, inf for -1."""
+        c = self.c[to]
+        d = (q**2).sum(1)[:, None] - 2 * np.matmul(c, q[:, :, None])[:, :, 0] + self.c2[to]
+        return np.where(to < 0, np.inf, np.maximum(0, d))
+
+    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centroids found and their squared distances, nearest first; -1 and inf where there are fewer.
+
+        Only the beam is held for a vector, so neither time nor memory depends on the number of centroids.
+        """
+        beam = min(beam, len(self.c))
+        ids, d = np.full((len(q), beam), -1), np.full((len(q), beam), np.inf)
+        done, rows = np.zeros((len(q), beam), bool), np.arange(len(q))
+        new = np.broadcast_to(self.entries, (len(q), len(self.entries)))
         while len(rows):
-            at = open_[rows].argmin(1)
-            limit = np.partition(seen[rows], beam - 1, axis=1)[:, beam - 1]
-            going = np.isfinite(open_[rows, at]) & (open_[rows, at] <= limit)
-            rows, at = rows[going], at[going]
-            open_[rows, at] = np.inf
-            to = self.links[at]
-            d = np.maximum(0, q2[rows, None] - 2 * np.einsum("rd,rld->rl", q[rows], self.c[to]) + c2[to])
-            new = np.isinf(seen[rows[:, None], to])
-            r, l = np.nonzero(new)
-            seen[rows[r], to[r, l]] = open_[rows[r], to[r, l]] = d[r, l]
-        return seen
+            there, far = np.concatenate([ids[rows], new], axis=1), np.concatenate([d[rows], self.distances(q[rows], new)], axis=1)
+            known = np.concatenate([done[rows], np.zeros(new.shape, bool)], axis=1)
+            # Of a centroid met again the one in the beam stays: it comes first among equal ids.
+            order = np.argsort(there, axis=1, kind="stable")
+            there, far, known = (np.take_along_axis(x, order, axis=1) for x in (there, far, known))
+            far[:, 1:][there[:, 1:] == there[:, :-1]] = np.inf
+            best = np.argsort(far, axis=1, kind="stable")[:, :beam]
+            ids[rows], d[rows], done[rows] = (np.take_along_axis(x, best, axis=1) for x in (there, far, known))
+            ids[rows] = np.where(np.isinf(d[rows]), -1, ids[rows])
+            left = ~done[rows] & (ids[rows] >= 0)
+            going = left.any(1)
+            rows, left = rows[going], left[going]
+            at = np.argsort(~left, axis=1, kind="stable")[:, :EXPANDED]  # the nearest that were not followed yet
+            real = np.take_along_axis(left, at, axis=1)
+            done[rows[:, None], at] |= real
+            new = np.where(real[:, :, None], self.links[ids[rows[:, None], at]], -1).reshape(len(rows), at.shape[1] * self.links.shape[1])
+        return ids, d
 
 
 def clean(vectors: DataFrame) -> DataFrame:
@@ -153,7 +166,9 @@ class Index:
         seen = np.zeros(promises.shape, bool)
         unit = q / np.sqrt((q**2).sum(1))[:, None]
         for band, graph in self.bands.items():
-            seen[:, self.first[band] : self.first[band] + len(graph.c)] = np.isfinite(graph.search(unit))
+            found, _ = graph.search(unit, BEAM)
+            r, c = np.nonzero(found >= 0)
+            seen[r, self.first[band] + found[r, c]] = True
         order = np.argsort(np.where(seen, -promises, np.inf), axis=1, kind="stable")
         before = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
         wanted = np.zeros(promises.shape, bool)
@@ -202,10 +217,10 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, figures: dict
             for band in np.unique(of):
                 graph, at = known.bands[band], np.flatnonzero(of == band)
                 for some in np.array_split(at, -(-len(at) // 256)):
-                    d = graph.search(v[some] / lengths[some, None])
-                    two = np.argsort(d, axis=1, kind="stable")[:, :2] if len(graph.c) > 1 else np.zeros((len(some), 2), int)
-                    close = np.take_along_axis(d, two, axis=1)
-                    two[:, 1] = np.where(close[:, 1] <= close[:, 0] * NEAR**2, two[:, 1], two[:, 0])
+                    found, d = graph.search(v[some] / lengths[some, None], OWN_BEAM)
+                    two = np.repeat(found[:, :1], 2, axis=1)
+                    if len(graph.c) > 1:
+                        two[:, 1] = np.where(d[:, 1] <= d[:, 0] * NEAR**2, found[:, 1], two[:, 1])
                     lists[some] = known.first[band] + two
             r, c = np.nonzero(np.stack([np.ones(len(v), bool), lists[:, 1] != lists[:, 0]], axis=1))
             yield pd.DataFrame({"list": lists[r, c], "vec_id": frame["vec_id"].to_numpy()[r], "v": list(v[r])})
@@ -245,10 +260,10 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, figures: dict
                 for at in range(0, len(frame), 256):
                     some = frame.iloc[at : at + 256]
                     q = np.stack(some["q"].to_numpy())
-                    promises = known.promises(q)
-                    wanted = known.first_lists(q, promises, max(10 * k, FIRST * n))
+                    promises, bar = known.promises(q), some["bar"].fillna(-np.inf).to_numpy()
+                    wanted = known.first_lists(q, promises, FIRST * k)
                     if again:
-                        wanted = ~wanted & (promises > some["bar"].fillna(-np.inf).to_numpy()[:, None])
+                        wanted = ~wanted & (promises > bar[:, None])
                     i, j = np.nonzero(wanted)
                     to = i * (known.lists // together + 1) + j // together
                     edges = np.flatnonzero(np.diff(to, prepend=-1))
@@ -256,7 +271,7 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, figures: dict
                     reads = np.add.reduceat(known.sizes[j], edges) if len(j) else []
                     yield pd.DataFrame({
                         "block": j[edges] // together, "query_id": some["vec_id"].to_numpy()[i[edges]], "q": [q[r].tobytes() for r in i[edges]],
-                        "wanted": [x.tobytes() for x in asked[: len(edges)]], "reads": reads,
+                        "wanted": [x.tobytes() for x in asked[: len(edges)]], "reads": reads, "bar": bar[i[edges]],
                     })
 
         return lists
@@ -266,6 +281,9 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, figures: dict
         for b in block.itertuples():
             lists, ids = np.frombuffer(b.lists, np.int32), np.frombuffer(b.ids, np.int64)
             v = np.frombuffer(b.v, np.float64).reshape(len(ids), dim)
+            by_id = np.argsort(ids, kind="stable")
+            twice = ids[by_id[1:]] == ids[by_id[:-1]]
+            one_of, other = by_id[:-1][twice], by_id[1:][twice]  # a vector in two of the block's lists
             for at in range(0, len(probes), 256):
                 some = probes.iloc[at : at + 256]
                 q = np.frombuffer(b"".join(some["q"]), np.float64).reshape(len(some), dim)
@@ -280,8 +298,12 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, figures: dict
                     s[mine, a:z] = q[mine] @ v[a:z].T
                 own = some["query_id"].to_numpy()
                 s[own[:, None] == ids[None, :]] = -np.inf
+                s[:, one_of] = np.maximum(s[:, one_of], s[:, other])
+                s[:, other] = -np.inf
                 # Products of whole lists are rounded in another order: what is that near to the k-th place is measured exactly.
-                last = -np.partition(-s, min(2 * k, len(ids)) - 1, axis=1)[:, min(2 * k, len(ids)) - 1]
+                # Below the k-th score that the query has already, nothing is wanted.
+                last = -np.partition(-s, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                last = np.maximum(last, some["bar"].to_numpy())
                 slack = 1e-12 * np.sqrt((q**2).sum(1)) * np.sqrt((v**2).sum(1).max(initial=0))
                 i, j = np.nonzero((s >= (last - slack)[:, None]) & np.isfinite(s))
                 out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "score": exact(q[i], v[j])}))
@@ -295,13 +317,13 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, figures: dict
         asked = probes.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("qblocks"))
         left = packed.join(asked, "block").withColumn("qb", every("qblocks")).select("block", "part", "qb", "lists", "ids", "v")
         spread = probes.join(asked, "block").join(parts, "block").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qblocks")).cast("int"))
-        right = spread.withColumn("part", every("parts")).select("block", "part", "qb", "query_id", "q", "wanted")
+        right = spread.withColumn("part", every("parts")).select("block", "part", "qb", "query_id", "q", "wanted", "bar")
         key = ["block", "part", "qb"]
         found = left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(nearest, "query_id long, vec_id long, score double")
         return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
-    probes = "block int, query_id long, q binary, wanted binary, reads double"
-    one = written(queries.mapInPandas(probe(False), probes), "probes")
+    probes = "block int, query_id long, q binary, wanted binary, reads double, bar double"
+    one = written(queries.withColumn("bar", F.lit(None).cast("double")).mapInPandas(probe(False), probes), "probes")
     first = written(read(one).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "first")
     bars = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bar"))
     told = queries.join(bars.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
