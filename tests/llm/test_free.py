@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -11,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tests.llm.conftest import ROWS
@@ -311,6 +313,45 @@ def test_graph_search_holds_the_beam_only():
     assert (np.sort(few, axis=1) == np.arange(5)).all()
 
 
+def test_index_is_made_in_bounded_memory():
+    """All distances at once would be 128 MB for the links and 256 MB for the clusters."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (8000, 8))
+    tracemalloc.start()
+    try:
+        c = neighbours.balanced_kmeans(x, 4000, rounds=2)
+        graph = neighbours.CentroidGraph(c)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6, peak
+    d = ((c[:50, None] - c[None]) ** 2).sum(2)
+    assert (graph.links[:50, : neighbours.LINKS + 1] == np.argsort(d, axis=1, kind="stable")[:, : neighbours.LINKS + 1]).all()
+
+
+def test_the_driver_gets_the_sample_and_a_row_for_each_list(spark, monkeypatch):
+    """Every task's best rows would be the whole table; every component a row of its own."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 300)
+    rows = spark.createDataFrame([(i, [float(i)]) for i in range(5000)], "vec_id long, v array<double>").repartition(8)
+    plain = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(300).collect()
+    assert neighbours.sampled(rows, 5000, 300).collect() == plain
+    # Where the hashes are not spread as expected, all rows are looked at.
+    assert neighbours.sampled(rows, 500_000, 300).collect() == plain
+    taken = []
+    monkeypatch.setattr(type(rows), "toArrow", lambda self, f=type(rows).toArrow: taken.append(f(self)) or taken[-1])
+    monkeypatch.setattr(type(rows), "toPandas", None)
+    v = np.random.default_rng(8).normal(0, 1, (2000, 8))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(8)
+    assert neighbours.search(frame, query_every=500).count() == 4 * 20
+    sample, totals = taken
+    assert sample.num_rows == 300 and totals.num_rows <= 2000 / neighbours.LIST_ROWS + 10
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:  # tasks without a list
+        assert neighbours.search(frame.where("vec_id < 3"), query_every=1).count() == 6
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_blocks_return_only_what_beats_the_first_lists(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 64)
     v = np.random.default_rng(6).normal(0, 1, (4000, 8))

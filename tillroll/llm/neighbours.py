@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,18 +50,38 @@ NEAR = 1.01
 SPREAD, FIRST = 3.3, 40
 #: Rows of a block, and of its queries (about).
 BLOCK, QUERY_BLOCK = 4096, 1024
+#: Distances or promises that are held at a time (a float each).
+CELLS = 2_000_000
+
+
+def stretches(n: int, k: int, most: int = 4096) -> list[slice]:
+    """Slices of n rows, each with at most CELLS pairs with k others."""
+    step = max(1, min(most, CELLS // max(1, k)))
+    return [slice(at, at + step) for at in range(0, n, step)]
+
+
+def squared(x: np.ndarray, c: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centroids, less the rows' own squares."""
+    d = (2 * x) @ c.T
+    return np.subtract(c2, d, out=d)
 
 
 def balanced_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """Centroids; a growing penalty on large clusters keeps their sizes near each other."""
+    """Centroids; a growing penalty on large clusters keeps their sizes near each other.
+
+    Of the distances only those of some rows are held at a time.
+    """
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)].copy()
-    penalty = np.zeros(k)
+    penalty, own, least = np.zeros(k), np.zeros(len(x), np.int64), np.zeros(len(x))
     for _ in range(rounds):
-        d = np.concatenate([(c**2).sum(1) - 2 * part @ c.T for part in np.array_split(x, -(-len(x) // 4096))]) + penalty
-        own = d.argmin(1)
+        c2 = (c**2).sum(1)
+        for some in stretches(len(x), k):
+            d = squared(x[some], c, c2)
+            d += penalty
+            own[some], least[some] = d.argmin(1), d.min(1)
         n = np.bincount(own, minlength=k)
-        scale = max(1e-12, float(np.mean(d.min(1) + (x**2).sum(1))))
+        scale = max(1e-12, float(np.mean(least + (x**2).sum(1))))
         penalty += 0.1 * scale * (n / max(1.0, len(x) / k) - 1)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
@@ -72,12 +93,16 @@ class CentroidGraph:
     """Centroids linked to their nearest ones; best-first search for many vectors at once."""
 
     def __init__(self, centroids: np.ndarray, seed: int = 5):
-        self.c = centroids
+        self.c, self.c2 = centroids, (centroids**2).sum(1)
         k = len(centroids)
-        d = (centroids**2).sum(1) - 2 * centroids @ centroids.T
-        near = np.argsort(d, axis=1, kind="stable")[:, : min(k, LINKS + 1)]
+        near = np.zeros((k, min(k, LINKS + 1)), np.int64)
+        for some in stretches(k, k):
+            d = squared(centroids[some], centroids, self.c2)
+            best = np.sort(np.argpartition(d, near.shape[1] - 1, axis=1)[:, : near.shape[1]], axis=1)
+            order = np.argsort(np.take_along_axis(d, best, axis=1), axis=1, kind="stable")
+            near[some] = np.take_along_axis(best, order, axis=1)
         far = np.random.default_rng(seed).integers(0, k, (k, 4))  # long links
-        self.links, self.c2 = np.concatenate([near, far], axis=1), (centroids**2).sum(1)
+        self.links = np.concatenate([near, far], axis=1)
         self.entries = np.unique(np.linspace(0, k - 1, min(k, 8)).astype(int))
 
     def distances(self, q: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -149,11 +174,12 @@ class Index:
         self.lists = lists
         self.means, self.spreads, self.sizes = np.zeros((lists, dim)), np.zeros(lists), np.zeros(lists)
 
-    def hold(self, totals: pd.DataFrame) -> None:
-        """totals (list, pos, total): rows, sum of squares, then the sums of the components."""
+    def hold(self, totals: pa.Table) -> None:
+        """totals (list, sums), a row or more for each list: rows, sum of squares, then the sums of the components."""
         table = np.zeros((self.lists, 2 + self.means.shape[1]))
-        table[totals["list"].to_numpy(), totals["pos"].to_numpy()] = totals["total"].to_numpy()
-        self.sizes = table[:, 0]
+        for batch in totals.to_batches():
+            np.add.at(table, batch["list"].to_numpy(), batch["sums"].flatten().to_numpy().reshape(-1, table.shape[1]))
+        self.sizes = table[:, 0].copy()
         n = np.maximum(1, self.sizes)
         self.means = table[:, 2:] / n[:, None]
         self.spreads = np.sqrt(np.maximum(0, table[:, 1] / n - (self.means**2).sum(1)) / self.means.shape[1])
@@ -180,6 +206,18 @@ def band_of(lengths: np.ndarray) -> np.ndarray:
     return np.floor(np.log(lengths) / np.log(BAND)).astype(np.int64)
 
 
+def sampled(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """Of n rows the ``most`` with the smallest hashes of their ids, in that order.
+
+    Hashes below a bound are sorted only, chosen so that little more than these rows are.
+    """
+    order, few = F.xxhash64("vec_id"), rows
+    if n > 2 * most:
+        below = rows.where(order < int(2**64 * 1.2 * most / n) - 2**63)
+        few = below if below.count() >= most else rows
+    return few.orderBy(order, "vec_id").limit(most)
+
+
 def search(vectors: DataFrame, k: int = 20, query_every: int = 20, figures: dict | None = None) -> DataFrame:
     """vectors (vec_id, embedding): the k nearest found of every row whose id is divisible by query_every.
 
@@ -201,8 +239,9 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, figures: dict
     if not bands:
         return none
     n = sum(bands.values())
-    sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE, max(1000, SAMPLE_FLOATS // dim)))
-    x = np.array([r["v"] for r in sample.select("v").collect()]).reshape(-1, dim)
+    # By Arrow, so neither as objects nor by way of a merge on the driver, which would get every task's best rows.
+    sample = sampled(usable, n, min(SAMPLE, max(1000, SAMPLE_FLOATS // dim))).select("v").toArrow()
+    x = np.concatenate([batch["v"].flatten().to_numpy() for batch in sample.to_batches()]).reshape(-1, dim)
     index = Index(x, bands, dim)
     graphs = spark.sparkContext.broadcast(index)
 
@@ -228,17 +267,17 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, figures: dict
     postings = written(usable.mapInPandas(assign, "list int, vec_id long, v array<double>"), "postings")
 
     def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((graphs.value.lists, 2 + dim))
         for frame in frames:
-            v, lists = np.stack(frame["v"].to_numpy()), frame["list"].to_numpy()
-            here, at = np.unique(lists, return_inverse=True)
-            sums = np.zeros((len(here), 2 + dim))
-            np.add.at(sums, at, np.hstack([np.ones((len(v), 1)), (v**2).sum(1)[:, None], v]))
-            yield pd.DataFrame({"list": here, "sums": list(sums)})
+            v = np.stack(frame["v"].to_numpy())
+            np.add.at(sums, frame["list"].to_numpy(), np.hstack([np.ones((len(v), 1)), (v**2).sum(1)[:, None], v]))
+        here = np.flatnonzero(sums[:, 0])
+        if len(here):
+            yield pd.DataFrame({"list": here, "sums": list(sums[here])})
 
+    # A row for each list, of lists whose number is bounded.
     gathered = postings.repartition("list").select("list", "v").mapInPandas(total, "list int, sums array<double>")
-    # A row for each list and component, of lists whose number is bounded.
-    totals = gathered.select("list", F.posexplode("sums").alias("pos", "x")).groupBy("list", "pos").agg(F.sum("x").alias("total")).toPandas()
-    index.hold(totals)
+    index.hold(gathered.toArrow())
     full = spark.sparkContext.broadcast(index)
     together = max(1, BLOCK // LIST_ROWS)
     blocks = postings.withColumn("block", (F.col("list") / together).cast("int"))
@@ -257,8 +296,8 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, figures: dict
         def lists(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = full.value
             for frame in frames:
-                for at in range(0, len(frame), 256):
-                    some = frame.iloc[at : at + 256]
+                for at in stretches(len(frame), known.lists, 256):
+                    some = frame.iloc[at]
                     q = np.stack(some["q"].to_numpy())
                     promises, bar = known.promises(q), some["bar"].fillna(-np.inf).to_numpy()
                     wanted = known.first_lists(q, promises, FIRST * k)
