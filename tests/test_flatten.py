@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tillroll import schemas
 from tests.plans import largest_method
@@ -275,3 +277,46 @@ def test_plain_and_quoted_values_read_alike(spark):
     assert [by_id[n].quantity_purchased for n in range(len(values))] == [5, 5, None, 5, 5, 5, None, None, None, None, None, None, None, None, None]
     assert [by_id[n].final_price for n in range(len(values))] == [5.0, 5.0, 5.0, 5.0, 5.0, 5.0, 1.0, None, None, None, None, None, None, 99999999999.0, None]
     assert [by_id[n].needs_fetch_review for n in range(len(values))] == [None, None, None, None, None, None, True, True, True, None, None, None, None, None, None]
+
+
+def test_fields_are_not_looked_up_one_by_one(spark):
+    """A path that leads nowhere is left by an exception, and most fields of most items are missing."""
+    # Items: the id, also for the filter on it, the list, and the element of a reject. Brands: the reference.
+    lookups = {"receipts": 0, "items": 4, "users": 0, "brands": 1}
+    for table, flatten in FLATTEN.items():
+        rows = flatten(documents(spark, oid("a")))
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"variant_get\([^$]*\$\[", plan)) <= lookups[table], (table, plan)
+
+
+def test_computed_lines_are_computed_once(spark):
+    """The filter on blank lines doesn't write a computed text again."""
+    rows = spark.range(3).select(F.to_json(F.struct("id")).alias("value"))
+    plan = parse_lines(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJson") == 1, plan
+
+
+def test_rejects_name_their_own_element(spark):
+    """The source text of a reject is looked up by its place in the list."""
+    items = [{"barcode": "a"}, None, "text", {"finalPrice": None, "barcode": "b"}, [1], {"quantityPurchased": "x"}]
+    rows = flatten_items(documents(spark, oid("a") | {"rewardsReceiptItemList": items}, oid("b") | {"rewardsReceiptItemList": "none"}, {"rewardsReceiptItemList": items}))
+    found = {r.source: r.reject_reason for r in rejected(rows).collect()}
+    assert found == {
+        "null": "item is not an object",
+        '"text"': "item is not an object",
+        '{"barcode":"b","finalPrice":null}': "final_price: null",
+        "[1]": "item is not an object",
+        '{"quantityPurchased":"x"}': "quantity_purchased: not a whole number",
+    }
+    assert [(r.receipt_id, r.barcode) for r in accepted(rows).collect()] == [("a", "a")]
+
+
+def test_dates_and_whole_numbers_at_the_edge_of_the_plain(spark):
+    stamps = [0, 99_999_999_999_999, 100_000_000_000_000, 253_402_300_799_999, 253_402_300_800_000, -1, "5", 1.5e12, None, "x"]
+    wholes = [999_999_999, 1_000_000_000, 2_147_483_647, 2_147_483_648, -999_999_999, -0.4, "-7", "007", 2.5, None]
+    lines = [oid(str(n)) | {"createDate": {"$date": d}, "bonusPointsEarned": w} for n, (d, w) in enumerate(zip(stamps, wholes, strict=True))]
+    rows = {int(r.receipt_id): r for r in flatten_receipts(documents(spark, *lines)).selectExpr("*", "unix_millis(create_date) AS millis").collect()}
+    assert [rows[n].millis for n in range(10)] == [0, 99_999_999_999_999, 100_000_000_000_000, 253_402_300_799_999, None, -1, None, 1_500_000_000_000, None, None]
+    assert [rows[n].bonus_points_earned for n in range(10)] == [999_999_999, 1_000_000_000, 2_147_483_647, None, -999_999_999, 0, -7, 7, 3, None]
+    bad = "create_date: not epoch milliseconds"
+    assert [rows[n].reject_reason for n in range(10)] == [None, None, None, "bonus_points_earned: not a whole number", bad, None, bad, None, bad, bad]

@@ -1,10 +1,10 @@
 """Typed values and complaints for the fields of a semi-structured document.
 
 A typed JSON reader cannot tell a missing key from an explicit null, nor a wrong type
-from a null, so documents are VARIANTs. One cast takes all fields out of a document, dates as
-variants, the others as text. Text that is not plain is replaced by the field's JSON, which
-shows everything at once: ``5`` is a number, ``"5"`` a text, ``null`` a null, and NULL a
-missing key.
+from a null, so documents are VARIANTs. One cast takes all fields out of a document, as
+variants: NULL is a missing key, a variant null a null. Plain text is read as it is; of what is
+not plain, the field's JSON is looked at, which tells ``5``, a number, from ``"5"``, a text.
+Fields are never looked up one by one: a path that leads nowhere is left by an exception.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def is_object(document: Column) -> Column:
     return F.try_variant_get(document, "$", "struct<_id:variant>").isNotNull()
 
 
-def _shape(fields: tuple[Field, ...]) -> str:
+def shape(fields: tuple[Field, ...]) -> str:
     """The struct type that holds the fields of a document where the document has them."""
     tree: dict = {}
     for field in fields:
@@ -55,7 +55,7 @@ def _shape(fields: tuple[Field, ...]) -> str:
         node = tree
         for key in parents:
             node = node.setdefault(key, {})
-        node[last] = "variant" if field.kind == "date" else "string"
+        node[last] = "variant"
 
     def ddl(node: dict | str) -> str:
         if isinstance(node, str):
@@ -77,38 +77,46 @@ def computed(df: DataFrame, *columns: Column | str) -> DataFrame:
     return numbered.filter("_partition >= 0").drop("_partition")
 
 
-#: Texts that mean the same within quotes and without: for these, JSON need not be written.
+#: By kind: the text to look at first, which such texts are plain, and their value. Numbers are mostly texts, and
+#: plain ones mean the same within quotes and without; of the others the JSON is looked at, as it is cheaper to write.
 _QUICK = {
-    "number": is_plain_decimal,
-    "whole": lambda text: text_to_int(text).isNotNull() & text.rlike(PLAIN_WHOLE),
-    "flag": lambda text: text.isin("true", "false"),
+    "number": (lambda v: v.try_cast("string"), is_plain_decimal, lambda text: text.try_cast("double")),
+    "whole": (F.to_json, lambda text: text.rlike("^-?[0-9]{1,9}$"), lambda text: text.try_cast("int")),
+    "flag": (F.to_json, lambda text: (text == "true") | (text == "false"), lambda text: text == "true"),
+    "date": (F.to_json, lambda text: text.rlike("^[0-9]{1,14}$"), lambda text: F.timestamp_millis(text.try_cast("bigint"))),
 }
 
 
-def _json_text(value: Column, document: Column, field: Field) -> Column:
-    if field.kind == "text":
-        return value
-    if field.kind == "date":
-        return F.to_json(value)
-    return F.when(_QUICK[field.kind](value), value).otherwise(F.to_json(leaf(document, field.path)))
+def taken(field: Field) -> Column:
+    """A field's variant in ``taken``: NULL when missing, a variant null when null."""
+    value = F.col("taken")
+    for key in field.path:
+        value = value.getField(key)
+    return value
+
+
+def take(document: Column, fields: tuple[Field, ...]) -> Column:
+    """The fields' variants, NULL where the document is no object; to be named ``taken``."""
+    return F.try_variant_get(document, "$", shape(fields))
 
 
-def take_texts(df: DataFrame, document: str, fields: tuple[Field, ...]) -> DataFrame:
-    """Add ``texts``, a struct of every field's text by column name.
+def take_texts(df: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+    """Add ``texts`` to what was taken, by column name: a text, or what is plain of another kind; the
+    JSON of what is not is ``odd_<column>``.
 
     Catalyst inlines a struct of which only fields are used, so that every use of a text would
     write it as JSON again; there are several for each field.
     """
-    cast = F.try_variant_get(df[document], "$", _shape(fields)).alias("taken")
-    others = df.columns
-    df = df.select("*", cast)
     texts = []
     for field in fields:
-        value = F.col("taken")
-        for key in field.path:
-            value = value.getField(key)
-        texts.append(_json_text(value, df[document], field).alias(field.column))
-    return computed(df, *others, F.struct(*texts).alias("texts"))
+        if field.kind == "text":
+            texts.append(taken(field).try_cast("string").alias(field.column))
+            continue
+        first, plain, _ = _QUICK[field.kind]
+        text = first(taken(field))
+        texts.append(F.when(plain(text), text).alias(field.column))
+        texts.append(F.when(~F.coalesce(plain(text), F.lit(False)), F.to_json(taken(field))).alias(f"odd_{field.column}"))
+    return computed(df, *df.columns, F.struct(*texts).alias("texts"))
 
 
 _QUOTE = '"'
@@ -118,9 +126,9 @@ _QUOTE = '"'
 # the costly tests below are guarded.
 
 
-def _text(text: Column, document: Column, field: Field) -> tuple[Column, Column]:
+def _text(text: Column, field: Field) -> tuple[Column, Column]:
     # Text that starts like an object or a list is one, or only looks like it.
-    nested = kind(document, field.path).rlike("^(?:OBJECT|ARRAY)")
+    nested = F.schema_of_variant(taken(field)).rlike("^(?:OBJECT|ARRAY)")
     bracket = text.startswith("{") | text.startswith("[")
     return text, F.when(bracket, F.when(nested, F.lit("not a text")))
 
@@ -182,15 +190,15 @@ def _read(kind_: str) -> Callable[[Column], Column]:
 
 
 def read_values(df: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
-    """Add ``read_<kind>``: value and complaint of every field that is no text, by kind.
+    """Add ``read_<kind>``: value and complaint of every field that is neither text nor plain, by kind.
 
-    One function is applied to the list of a kind's texts. Written out for each field, all of
-    this would be one method of generated code, too large for the JVM to compile.
+    One function is applied to the list of a kind's odd texts, if there is one. Written out for each
+    field, all of this would be one method of generated code, too large for the JVM to compile.
     """
     reads = []
     for kind_, of in _by_kind(fields).items():
-        texts = F.array(*(F.col("texts").getField(field.column) for field in of))
-        reads.append(F.transform(texts, _read(kind_)).alias(f"read_{kind_}"))
+        odd = [F.col("texts").getField(f"odd_{field.column}") for field in of]
+        reads.append(F.when(F.coalesce(*odd).isNotNull(), F.transform(F.array(*odd), _read(kind_))).alias(f"read_{kind_}"))
     return df.select("*", *reads)
 
 
@@ -198,22 +206,19 @@ def _by_kind(fields: tuple[Field, ...]) -> dict[str, list[Field]]:
     return {k: of for k in _KINDS if (of := [field for field in fields if field.kind == k])}
 
 
-def extract(texts: Column, document: Column, field: Field, fields: tuple[Field, ...]) -> tuple[Column, Column]:
+def extract(field: Field, fields: tuple[Field, ...]) -> tuple[Column, Column]:
     """Value and complaint (NULL if the value can be stored) of one field of ``read_values``."""
-    text = texts.getField(field.column)
+    text = F.col("texts").getField(field.column)
     if field.kind == "text":
-        found, complaint = _text(text, document, field)
-        # Text says nothing about why it is NULL.
-        missing = F.when(text.isNull(), leaf(document, field.path).isNull())
-        null = F.when(text.isNull(), leaf(document, field.path).isNotNull())
+        found, complaint = _text(text, field)
     else:
-        read = F.col(f"read_{field.kind}")[_by_kind(fields)[field.kind].index(field)]
-        found, complaint = read["value"], read["complaint"]
-        missing, null = text.isNull(), text == "null"
+        read = F.get(F.col(f"read_{field.kind}"), F.lit(_by_kind(fields)[field.kind].index(field)))
+        found = F.when(text.isNotNull(), _QUICK[field.kind][2](text)).otherwise(read["value"])
+        complaint = read["complaint"]
     if field.default is not None:
-        found = F.when(missing, F.lit(field.default)).otherwise(found)
+        found = F.when(taken(field).isNull(), F.lit(field.default)).otherwise(found)
     if not field.null_ok:
-        complaint = F.when(null, F.lit("null")).otherwise(complaint)
+        complaint = F.when(F.is_variant_null(taken(field)), F.lit("null")).otherwise(complaint)
     if field.limit is not None:
         too_long = F.when(F.length(text) > field.limit, F.lit(f"longer than {field.limit}"))
         complaint = F.coalesce(complaint, too_long)

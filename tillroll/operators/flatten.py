@@ -12,16 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll import schemas
-from tillroll.functions.fields import computed, extract, is_object, json_path, kind, read_values, take_texts
+from tillroll.functions.fields import computed, extract, json_path, kind, read_values, shape, take, take_texts, taken
 
 REASON, SOURCE = "reject_reason", "source"
 
 
-_ID = schemas.RECEIPT_FIELDS[0].path
+# Every kind of document has its id there.
+_ID = schemas.RECEIPT_FIELDS[0]
 
 
-def _no_id(document: Column) -> Column:
-    return F.when(kind(document, _ID).isNull(), F.lit("document has no id"))
+def _no_id() -> Column:
+    return F.when(taken(_ID).isNull(), F.lit("document has no id"))
 
 
 def _no_reference(document: Column) -> Column:
@@ -32,16 +33,15 @@ def _no_reference(document: Column) -> Column:
 
 def _rows(
     rows: DataFrame,
-    document: str,
     source: Column,
     fields: tuple[schemas.Field, ...],
     carried: tuple[str, ...] = (),
     complaints: tuple[Column, ...] = (),
 ) -> DataFrame:
-    """Columns and complaints of all fields in one projection."""
-    given = rows.columns
-    rows = read_values(take_texts(rows, document, fields), fields)
-    extracted = [extract(F.col("texts"), F.col(document), field, fields) for field in fields]
+    """Columns and complaints of all fields, whose variants are ``taken``, in one projection."""
+    given = [c for c in rows.columns if c != "taken"]
+    rows = read_values(take_texts(rows, fields), fields)
+    extracted = [extract(field, fields) for field in fields]
     reasons = F.concat_ws("; ", *complaints, *(complaint for _, complaint in extracted))
     values = [value for value, _ in extracted]
     inputs = [c for c in given if c not in carried]
@@ -53,9 +53,10 @@ def _rows(
 def _documents(documents: DataFrame, fields, *complaints) -> DataFrame:
     document = F.col("document")
     # A line that could not be read has no id either; one reason is enough.
-    first = F.coalesce(F.col("line_error"), _no_id(document))
+    first = F.coalesce(F.col("line_error"), _no_id())
     checks = tuple(check(document) for check in complaints)
-    return _rows(documents, "document", F.col("line"), fields, complaints=(first, *checks))
+    documents = documents.select("*", take(document, fields).alias("taken"))
+    return _rows(documents, F.col("line"), fields, complaints=(first, *checks))
 
 
 def flatten_receipts(documents: DataFrame) -> DataFrame:
@@ -78,22 +79,25 @@ def flatten_items(documents: DataFrame) -> DataFrame:
     reports them as orphans.
     """
     document = F.col("document")
+
+    def listed(element: str) -> Column:
+        return F.try_variant_get(document, json_path(schemas.ITEM_LIST), f"array<{element}>")
+
     items = documents.select(
-        F.try_variant_get(document, json_path(_ID), "string").alias("receipt_id"),
-        F.explode(
-            F.try_variant_get(document, json_path(schemas.ITEM_LIST), "array<variant>")
-        ).alias("item"),
+        F.try_variant_get(document, json_path(_ID.path), "string").alias("receipt_id"),
+        "document",
+        F.posexplode(listed(shape(schemas.ITEM_FIELDS))).alias("place", "taken"),
     ).filter(F.col("receipt_id").isNotNull())
-    item, receipt_id = F.col("item"), F.col("receipt_id")
+    receipt_id = F.col("receipt_id")
     limit = schemas.LIMITS["items"]["receipt_id"]
     return _rows(
         items,
-        "item",
-        F.to_json(item),
+        # The element itself is only looked up for rejects.
+        F.to_json(F.get(listed("variant"), F.col("place"))),
         schemas.ITEM_FIELDS,
         carried=("receipt_id",),
         complaints=(
-            F.when(~F.coalesce(is_object(item), F.lit(False)), F.lit("item is not an object")),
+            F.when(F.col("taken").isNull(), F.lit("item is not an object")),
             F.when(F.length(receipt_id) > limit, F.lit(f"receipt_id: longer than {limit}")),
         ),
     )

@@ -128,12 +128,13 @@ def _event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flattened(t: Tables) -> dict[str, DataFrame]:
-    # Parsing takes far more time than moving a row, and a table may lie in few splits.
+    # Parsing takes far more time than moving a row, and a table may lie in few splits. Rows dealt
+    # by a key need no sort before; what is too large of one key is split.
     documents = {
-        "receipts": fixtures.receipt_documents(t.receipts.hint("rebalance")),
-        "items": fixtures.item_documents(t.items.hint("rebalance")),
-        "users": fixtures.user_documents(t.users.hint("rebalance")),
-        "brands": fixtures.brand_documents(t.brands.hint("rebalance")),
+        "receipts": fixtures.receipt_documents(t.receipts.hint("rebalance", "receipt_id")),
+        "items": fixtures.item_documents(t.items.hint("rebalance", "receipt_id")),
+        "users": fixtures.user_documents(t.users.hint("rebalance", "user_id")),
+        "brands": fixtures.brand_documents(t.brands.hint("rebalance", "brand_id")),
     }
     return {name: flatten.FLATTEN[name](parse_lines(lines)) for name, lines in documents.items()}
 
